@@ -56,7 +56,7 @@ def _best_entropy(text: str, alphabet: str, window: int) -> str:
     zero = f"named_struct('c', array_repeat(0, {len(alphabet)}), 'n', 0, 's', 0D, 'best', 0D)"
     into = f"if({at('i')} > 0, {at('i')}, 0)"
     out = f"if(i > {window}, {at(f'i - {window}')}, 0)"
-    put = lambda a, k, d: f"if({k} = 0, {a}.c, transform({a}.c, (x, j) -> if(j = {k} - 1, x + {d}, x)))"
+    put = lambda a, k, d: f"if({k} = 0, {a}.c, transform({a}.c, (y, j) -> if(j = {k} - 1, y + {d}, y)))"
     enter = f"named_struct('c', {put('a', into, 1)}, 'n', a.n + if({into} > 0, 1, 0), 's', a.s + if({into} > 0, {gain(f'(a.c[greatest({into}, 1) - 1] + 1)')} - {gain(f'a.c[greatest({into}, 1) - 1]')}, 0D), 'best', a.best)"
     leave = f"named_struct('c', {put('b', out, -1)}, 'n', b.n - if({out} > 0, 1, 0), 's', b.s + if({out} > 0, {gain(f'(b.c[greatest({out}, 1) - 1] - 1)')} - {gain(f'b.c[greatest({out}, 1) - 1]')}, 0D), 'best', b.best)"
     keep = f"named_struct('c', d.c, 'n', d.n, 's', d.s, 'best', if(d.n = {window}, greatest(d.best, log2(cast(d.n as double)) - d.s / d.n), d.best))"
