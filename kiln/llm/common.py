@@ -63,12 +63,12 @@ def held_out(col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def slices(texts: list[str | None], limit: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs of texts of about limit characters; a longer text is a run of its own."""
+def slices(texts: list[str | None], limit: int = SLICE_CHARS, rows: int = 512) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of up to rows texts and about limit characters; a longer text is a run of its own."""
     start, held = 0, 0
     for i, t in enumerate(texts):
         n = len(t) if t else 0
-        if held and held + n > limit:
+        if i > start and (held + n > limit or i - start >= rows):
             yield start, i
             start, held = i, 0
         held += n
