@@ -13,6 +13,7 @@ from kiln.llm.language_id import language_id
 from kiln.llm.packing import pack
 from kiln.llm.secrets import secret_scan
 from kiln.llm.simhash import near_duplicates
+from kiln.llm.substring_dedup import substring_dedup
 from kiln.llm.token_counts import token_counts
 from kiln.llm.toxicity import toxicity
 
@@ -28,6 +29,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id(table(spark, sf_dir, "documents"))
 
@@ -56,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op3_language_id, op4_token_counts, op5_decontamination, op6_packing, op8_simhash, op9_secret_scan, op10_toxicity)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_array_dedup, op3_language_id, op4_token_counts, op5_decontamination, op6_packing, op8_simhash, op9_secret_scan, op10_toxicity)}
 
 _EXACT = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
