@@ -290,3 +290,138 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
     names = labels.groupBy("root").agg(F.min("first").alias("component_id"))
     labels = labels.join(names, "root").select("fp", "component_id")
     return made.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Near copies: word shingles and the similarity that counts; independent fingerprints and the bits they may differ in.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_PRINTS, COPY_BITS = 5, 0.8, 8, 3
+#: Buckets up to this size give all their pairs within the bound; larger ones each member's nearest ones and the first.
+COPY_ALL, COPY_NEAREST = 24, 3
+
+
+def word_prints(text: str | None, prints: int = COPY_PRINTS) -> list[int]:
+    """Independent fingerprints of the set of distinct words. Few words of a near copy differ, so few bits do."""
+    words = sorted(set(text.encode("utf-8", "surrogatepass").lower().split())) if text else []
+    if not words:
+        return [0] * prints
+    counts = np.zeros((prints, 64), np.int64)
+    for i in range(0, len(words), BATCH // 8):
+        h = np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in words[i : i + BATCH // 8]], np.uint64)
+        for k in range(prints):
+            x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)
+            x ^= x >> np.uint64(32)
+            x *= np.uint64(0xD6E8FEB86659FD93)
+            x ^= x >> np.uint64(29)
+            counts[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    bits = np.packbits(2 * counts > len(words), axis=1, bitorder="little")
+    return bits.view("<u8").ravel().astype(np.uint64).view(np.int64).tolist()
+
+
+def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))] if words else [], np.uint64))
+
+
+def bucket_pairs(fps: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Index pairs of a bucket within the bound: all, or for large buckets each one's nearest and the first of its kind."""
+    n = len(fps)
+    for i in range(n):
+        if n <= COPY_ALL:
+            j = i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= most)
+        else:
+            d = np.bitwise_count(fps ^ fps[i])
+            d[i] = 65
+            near = np.flatnonzero(d <= most)
+            j = np.unique(np.append(near[np.argsort(d[near], kind="stable")[:COPY_NEAREST]], near[:1]))
+        for k in j.tolist():
+            yield i, k
+
+
+def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE, most: int = COPY_BITS, prints: int = COPY_PRINTS) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, mark (hash of the text), keep_id, the smallest id of its group.
+
+    Candidates: texts of which one of several independent SimHash fingerprints differs in few bits, found by the
+    generalised pigeonhole groups of bits. They are linked if the Jaccard similarity of their word shingles, computed
+    over the whole texts, reaches the bound; groups are the connected components. Texts without words are in no group,
+    texts shorter than a shingle are one shingle. Null ids are never the one that stays unless all are.
+    """
+    spark = docs.sparkSession
+    mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+    def made(batch: pa.RecordBatch):
+        rows = [word_prints(t, prints) for t in batch.column(2).to_pylist()]
+        yield {"doc_id": batch.column(0), "mark": batch.column(1), "fps": rows}
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    slim = materialize(mapped(docs.select("doc_id", mark.alias("mark"), F.col("text").cast("string").alias("text")), made, f"doc_id {kind}, mark long, fps array<bigint>"), "prints")
+    # Equal texts are one node; the mark stands for the text.
+    nodes = slim.where(~F.forall("fps", lambda x: x == 0)).groupBy("mark").agg(F.first("fps").alias("fps"))
+    n, p, correlation = bit_statistics(nodes.select(F.col("fps")[0].alias("fp")))
+    parts = plan(n, p, correlation, most) if n > 1 else []
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    keyed = None
+    each = nodes.select("mark", F.posexplode("fps").alias("print", "fp"))
+    for k, (bits, radius) in enumerate(parts):
+        m = F.lit(signed(_mask(bits)))
+        balls = F.array(*(F.lit(signed(x)) for x in _ball(bits, radius)))
+        one = each.select("mark", "fp", (F.col("print") * 8 + k).alias("part"), F.explode(F.transform(balls, lambda x: F.col("fp").bitwiseAND(m).bitwiseXOR(x))).alias("key"))  # noqa: B023
+        keyed = one if keyed is None else keyed.unionByName(one)
+    if keyed is None:
+        return slim.select("doc_id", "mark", F.col("doc_id").alias("keep_id"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # Hot keys (many near copies) are dealt out further by a slice of the rest of the fingerprint, besides as they are in parts.
+    pairs_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, marks, fps = None, [], []
+
+        def done() -> pa.RecordBatch:
+            m, f = np.concatenate(marks), np.concatenate(fps)
+            m, at = np.unique(m, return_index=True)
+            f = f[at].view(np.uint64)
+            u, v = [], []
+            for a in range(0, len(m), 4096):  # of very large buckets, parts
+                for i, j in bucket_pairs(f[a : a + 4096], most):
+                    u.append(min(m[a + i], m[a + j]))
+                    v.append(max(m[a + i], m[a + j]))
+            return pa.RecordBatch.from_pydict({"u": u, "v": v}, schema=pairs_schema)
+
+        for batch in batches:
+            part, key, mk, fp = (batch.column(i).to_numpy() for i in range(4))
+            if not len(part):
+                continue
+            edge = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
+            for a, b in zip(np.append(0, edge).tolist(), np.append(edge, len(part)).tolist(), strict=True):
+                if now != (part[a], key[a]):
+                    if sum(map(len, marks)) > 1:
+                        yield done()
+                    now, marks, fps = (part[a], key[a]), [], []
+                marks.append(mk[a:b].copy())
+                fps.append(fp[a:b].copy())
+        if sum(map(len, marks)) > 1:
+            yield done()
+
+    pairs = keyed.select("part", "key", "mark", "fp").repartition(partitions, "part", "key").sortWithinPartitions("part", "key").mapInArrow(work, "u long, v long")
+    pairs = materialize(pairs.where("u <> v").distinct(), "pairs")
+    wanted = pairs.select(F.col("u").alias("mark")).unionByName(pairs.select(F.col("v").alias("mark"))).distinct()
+
+    def sets(batch: pa.RecordBatch):
+        yield {"mark": batch.column(0), "set": [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]}
+
+    texts = docs.select(mark.alias("mark"), F.col("text").cast("string").alias("text")).join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
+    found = materialize(mapped(texts, sets, "mark long, set binary"), "sets")
+    both = pairs.join(found.select(F.col("mark").alias("u"), F.col("set").alias("a")), "u").join(found.select(F.col("mark").alias("v"), F.col("set").alias("b")), "v")
+
+    def verified(batch: pa.RecordBatch):
+        u, v = [], []
+        for x, y, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+            same = len(np.intersect1d(a, b, assume_unique=True))
+            if same >= similarity * (len(a) + len(b) - same) - 1e-9 and same:
+                u.append(x)
+                v.append(y)
+        yield {"u": u, "v": v}
+
+    roots = components(mapped(both.select("u", "v", "a", "b"), verified, "u long, v long"))
+    labels = slim.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    keep = labels.where(~F.forall("fps", lambda x: x == 0)).groupBy("root").agg(F.min("doc_id").alias("keep_id"))
+    return labels.join(keep, "root", "left").select("doc_id", "mark", F.when(F.forall("fps", lambda x: x == 0), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"))

@@ -183,6 +183,24 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
     return fit_calibrated(rows, np.array([r["p"] == 1 for r in got], bool), np.array([r["u"] == 0 for r in got], bool), prior)
 
 
+def scores(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
+    memo = _memo(id(weights))
+    total, n = np.zeros(len(texts)), np.zeros(len(texts))
+    for i, text in enumerate(texts):
+        if len(memo) > MEMO:
+            memo.clear()
+        s = k = 0
+        for word in distinct_words(text):
+            got = memo.get(word)
+            if got is None:
+                f = word_features(word)
+                got = memo[word] = (float(sum(weights[j] for j in f)), len(f))
+            s += got[0]
+            k += got[1]
+        total[i], n[i] = s, k
+    return _sigmoid(Linear(weights, bias).margin(total, n))
+
+
 def score(docs: DataFrame, model: Linear, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)  # 1 MB whatever the input
@@ -190,23 +208,7 @@ def score(docs: DataFrame, model: Linear, threshold: float = 0.7) -> DataFrame:
 
     def scored(batch: pa.RecordBatch):
         x = batch.to_pydict()
-        w = weights.value
-        memo = _memo(id(w))
-        total, n = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
-        for i, text in enumerate(x["text"]):
-            words = distinct_words(text)
-            if len(memo) > MEMO:
-                memo.clear()
-            s = k = 0
-            for word in words:
-                got = memo.get(word)
-                if got is None:
-                    f = word_features(word)
-                    got = memo[word] = (float(sum(w[j] for j in f)), len(f))
-                s += got[0]
-                k += got[1]
-            total[i], n[i] = s, k
-        p = _sigmoid(Linear(w, bias).margin(total, n))
+        p = scores(x["text"], weights.value, bias)
         yield {"doc_id": x["doc_id"], "held_out": x["held_out"], "score": p, "predicted": (p >= threshold).astype("i4")}
 
     source = docs.select("doc_id", held_out().alias("held_out"), "text")
@@ -231,3 +233,17 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bound
     repeat are scored alike. A null doc_id is not held out and never sampled.
     """
     return score(docs, fit(docs, labels, **bounds), threshold)
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
+    """The rows of docs that score below the threshold, with all their columns; nothing is shuffled."""
+    model = fit(docs, labels, **bounds)
+    weights, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias
+    at = docs.columns.index("text")
+
+    def kept(batches):
+        for batch in batches:
+            p = scores(batch.column(at).to_pylist(), weights.value, bias)
+            yield batch.filter(pa.array(p < threshold))
+
+    return docs.mapInArrow(kept, docs.schema)
