@@ -189,7 +189,7 @@ def lemmas(vocabulary: DataFrame, lexicon: DataFrame | None = None) -> DataFrame
     """
     known = (lexicon or vocabulary.select(F.col("token").alias("form"))).distinct()
     rules = F.array(*(F.struct(F.lit(a).alias("end"), F.lit(b).alias("to")) for a, b in DETACH))
-    tried = vocabulary.select("token", F.explode(rules).alias("r")).where("token like concat('%', r.end) and length(token) > length(r.end)")
+    tried = vocabulary.select("token", F.explode(rules).alias("r")).where("token like concat('%', r.end) and length(token) >= length(r.end)")
     tried = tried.where("not (token like '%ss' and r.end = 's')").select("token", F.expr("concat(substring(token, 1, length(token) - length(r.end)), r.to)").alias("form"))
     best = tried.join(known, "form").groupBy("token").agg(F.min(F.struct(F.length("form").alias("n"), "form")).alias("x"))
     return vocabulary.join(best, "token", "left").select("token", F.coalesce("x.form", "token").alias("lemma"))

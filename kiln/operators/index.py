@@ -61,11 +61,14 @@ class Index:
     text_col: str = "text"
     order_col: str | None = None
     version: int = 0
+    #: Keep term counts and postings (memory, then disk of the executors; lost parts are computed again) for several uses.
+    keep: bool = False
     _made: dict = field(default_factory=dict, repr=False, compare=False)
 
     def _once(self, name: str, make):
         if name not in self._made:
-            self._made[name] = make()
+            made = make()
+            self._made[name] = made.persist() if self.keep and name in ("tf", "postings") else made
         return self._made[name]
 
     @property
@@ -100,6 +103,12 @@ class Index:
     def universe(self) -> DataFrame:
         return self._once("universe", lambda: self.tokenised.select(F.col("doc_id").cast("string").alias("doc_id")).distinct())
 
+    def release(self) -> None:
+        """Drop what `keep` kept."""
+        for name in ("tf", "postings"):
+            if name in self._made:
+                self._made.pop(name).unpersist()
+
     def stats(self) -> DataFrame:
         """One row: documents, terms, distinct ids."""
         n = self.tokenised.agg(F.count("*").alias("n_docs"), F.countDistinct("doc_id").alias("n_ids"))

@@ -33,7 +33,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def index_of(spark: SparkSession, sf: str) -> Index:
-    return Index(documents(spark, sf).select("doc_id", "text"), order_col="doc_id")
+    return Index(documents(spark, sf).select("doc_id", "text"), order_col="doc_id", keep=True)
 
 
 def items(spark: SparkSession, sf: str) -> DataFrame:
