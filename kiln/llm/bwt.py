@@ -17,56 +17,41 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Rows of a block.
-BLOCK = 1 << 16
-#: Fields of a row: preceding symbol (0: none, byte + 1), common prefix with the row before (at most 255), string, suffix length.
-FIELDS = {"symbol": "<u2", "common": "u1", "string": "<u4", "length": "<u4"}
+BLOCK = 1 << 17
+#: Fields of a row: preceding symbol (0: none, byte + 1), common prefix with the row before (at most 255), string and suffix length.
+FIELDS = {"symbol": "<u2", "common": "u1", "place": "<u8"}
 
 
-class _Files:
-    """The fields of all rows in one file each."""
+class _Rows:
+    """The fields of all rows, in a file each: written from the front, then read from the front."""
 
     def __init__(self, folder: str, name: str):
-        self.paths = {k: os.path.join(folder, f"{name}-{k}") for k in FIELDS}
+        self.files = {k: open(os.path.join(folder, f"{name}-{k}"), "w+b") for k in FIELDS}  # noqa: SIM115
+        self.n = 0
 
-    def write(self) -> _Writer:
-        return _Writer(self.paths)
-
-    def blocks(self, *fields: str) -> Iterator[list[np.ndarray]]:
-        files = [open(self.paths[f], "rb") for f in fields]  # noqa: SIM115
-        try:
-            while True:
-                rows = [np.fromfile(f, FIELDS[k], BLOCK) for f, k in zip(files, fields, strict=True)]
-                if not len(rows[0]):
-                    return
-                yield rows
-        finally:
-            for f in files:
-                f.close()
-
-
-class _Writer:
-    def __init__(self, paths: dict[str, str]):
-        self.files = {k: open(p, "wb") for k, p in paths.items()}  # noqa: SIM115
+    def begin(self) -> None:
+        self.n = 0
+        for f in self.files.values():
+            f.seek(0)
 
     def put(self, rows: dict[str, np.ndarray]) -> None:
         for k, a in rows.items():
-            a.astype(FIELDS[k], copy=False).tofile(self.files[k])
+            self.files[k].write(np.ascontiguousarray(a, FIELDS[k]).data)
+        self.n += len(rows["symbol"])
+
+    def blocks(self, *fields: str) -> Iterator[list[np.ndarray]]:
+        for k in fields:
+            self.files[k].flush()
+            self.files[k].seek(0)
+        for at in range(0, self.n, BLOCK):
+            m = min(BLOCK, self.n - at)
+            yield [np.frombuffer(self.files[k].read(m * np.dtype(FIELDS[k]).itemsize), FIELDS[k]) for k in fields]
 
     def close(self) -> None:
         for f in self.files.values():
             f.close()
 
 
-def _range_min(table: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Minimum over [a, b) by a sparse table; a < b."""
-    level = np.frexp((b - a).astype(np.float64))[1] - 1
-    out = np.empty(len(a), np.uint8)
-    for k in np.unique(level).tolist():
-        at = level == k
-        out[at] = np.minimum(table[k][a[at]], table[k][b[at] - (1 << k)])
-    return out
-
-
 def _sparse(x: np.ndarray, longest: int) -> list[np.ndarray]:
     table = [x]
     k = 1
@@ -77,7 +62,22 @@ def _sparse(x: np.ndarray, longest: int) -> list[np.ndarray]:
     return table
 
 
-def _ranks(files: _Files, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _range_min(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Minimum of x over each [a, b), a < b, by a sparse table."""
+    if not len(a):
+        return np.zeros(0, np.int64)
+    size = b - a
+    table = _sparse(x, int(size.max()))
+    level = np.frexp(size.astype(np.float64))[1] - 1
+    out = np.empty(len(a), np.int64)
+    for k, t in enumerate(table):
+        at = np.flatnonzero(level == k)
+        if len(at):
+            out[at] = np.minimum(t[a[at]], t[b[at] - (1 << k)])
+    return out
+
+
+def _ranks(rows: _Rows, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """One pass over transform and common prefixes. For rows (ascending places): how many rows before have the same
     symbol; common prefixes of the grown suffix with the one before and after it (0 where they begin otherwise)."""
     n = len(places)
@@ -86,59 +86,46 @@ def _ranks(files: _Files, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     since = np.full(257, 255, np.int64)  # least common prefix since the last row with the symbol
     waiting = np.full(257, -1, np.int64)  # the wanted row, if the last row with the symbol is one
     at = 0
-    for symbol, common in files.blocks("symbol", "common"):
+    for symbol, common in rows.blocks("symbol", "common"):
         m = len(symbol)
         lo, hi = np.searchsorted(places, (at, at + m))
         order = np.argsort(symbol, kind="stable")
-        sorted_ = symbol[order]
         counts = np.bincount(symbol, minlength=257)
-        begin = np.cumsum(counts) - counts
-        new = np.empty(m, bool)
-        new[0], new[1:] = True, sorted_[1:] != sorted_[:-1]
-        gap = np.empty(m, np.uint8)  # in symbol order: least common prefix after the row of the same symbol before, up to the row
-        inner = np.flatnonzero(~new)
-        a, b = order[inner - 1] + 1, order[inner] + 1
-        heads = order[new]
-        longest = int(max((b - a).max(initial=1), heads.max(initial=0) + 1))
-        table = _sparse(common, longest)
-        gap[inner] = _range_min(table, a, b)
-        first = _range_min(table, np.zeros(len(heads), np.int64), heads + 1).astype(np.int64)
-        syms = sorted_[new]
-        gap[new] = np.minimum(first, since[syms])
-        known = seen[syms] > 0
-        # rows that waited for the next row of their symbol
+        end = np.cumsum(counts)
+        begin = end - counts
+        syms = np.flatnonzero(counts)
+        heads, last = order[begin[syms]], order[end[syms] - 1]
+        # up to the first row of each symbol in the block, from the last one before the block
+        entry = np.minimum(np.minimum.accumulate(common)[heads].astype(np.int64), since[syms])
         w = waiting[syms]
-        ok = w >= 0
-        after[w[ok]] = gap[new][ok].astype(np.int64) + 1
+        after[w[w >= 0]] = entry[w >= 0] + 1
         if hi > lo:
-            spot = np.empty(m, np.int64)
-            spot[order] = np.arange(m)
-            k = spot[places[lo:hi] - at]
-            s = symbol[places[lo:hi] - at]
+            where = places[lo:hi] - at
+            s = symbol[where].astype(np.int64)
+            # place of each wanted row in the order by symbol
+            k = np.empty(hi - lo, np.int64)
+            for x in np.unique(s).tolist():
+                mine = s == x
+                k[mine] = begin[x] + np.searchsorted(order[begin[x] : end[x]], where[mine])
             rank[lo:hi] = seen[s] + k - begin[s]
-            is_first = new[k]
-            has = ~is_first | (seen[s] > 0)
-            before[lo:hi] = np.where(has, gap[k].astype(np.int64) + 1, 0)
-            nxt = k + 1
-            within = (nxt < m) & ~new[np.minimum(nxt, m - 1)]
-            after[lo:hi][within] = gap[nxt[within]].astype(np.int64) + 1
-        del known
+            first, final = k == begin[s], k == end[s] - 1
+            inner, more = np.flatnonzero(~first), np.flatnonzero(~final)
+            a = np.concatenate([order[k[inner] - 1] + 1, where[more] + 1])
+            b = np.concatenate([where[inner] + 1, order[k[more] + 1] + 1])
+            least = _range_min(common, a, b)
+            before[lo + inner] = least[: len(inner)] + 1
+            after[lo + more] = least[len(inner) :] + 1
+            known = np.flatnonzero(first & (seen[s] > 0))
+            of = np.zeros(257, np.int64)
+            of[syms] = entry
+            before[lo + known] = of[s[known]] + 1
         # carried on: per symbol the least common prefix after its last row
-        tail = np.minimum.accumulate(common[::-1])[::-1]
-        whole = int(tail[0])
-        ends = np.append(np.flatnonzero(new)[1:] - 1, m - 1)
-        last = order[ends]
-        rest = np.full(len(last), 255, np.int64)
-        short = last + 1 < m
-        rest[short] = tail[last[short] + 1]
-        since = np.minimum(since, whole)
-        since[syms] = rest
+        tail = np.minimum.accumulate(common[::-1])  # from the end
+        since = np.minimum(since, int(tail[-1]))
+        since[syms] = np.where(last + 1 < m, tail[np.maximum(m - 2 - last, 0)], 255)
         waiting[syms] = -1
         if hi > lo:
-            is_last = np.zeros(m, bool)
-            is_last[ends] = True
-            mine = is_last[k]
-            waiting[s[mine]] = np.arange(lo, hi)[mine]
+            waiting[s[final]] = np.arange(lo, hi)[final]
         seen += counts
         at += m
     return rank, before, after
@@ -153,17 +140,15 @@ def build(strings: list[bytes], folder: str | None = None) -> Iterator[tuple[np.
     if not strings:
         return
     work = tempfile.mkdtemp(dir=folder)
+    old, new = _Rows(work, "0"), _Rows(work, "1")
     try:
         n = len(strings)
         sizes = np.array([len(s) for s in strings])
         text = np.frombuffer(b"".join(strings), np.uint8).astype(np.uint16) + 1
         ends = np.cumsum(sizes)
-        old = _Files(work, "0")
-        w = old.write()
         symbol = np.zeros(n, np.uint16)
         symbol[sizes > 0] = text[ends[sizes > 0] - 1]
-        w.put({"symbol": symbol, "common": np.zeros(n, np.uint8), "string": np.arange(n), "length": np.zeros(n, np.int64)})
-        w.close()
+        old.put({"symbol": symbol, "common": np.zeros(n, np.uint8), "place": np.arange(n, dtype=np.uint64) << np.uint64(32)})
         totals = np.bincount(symbol, minlength=257)
         active = np.flatnonzero(sizes > 0)
         places = active.copy()  # row of each active string's longest suffix so far, ascending
@@ -177,27 +162,34 @@ def build(strings: list[bytes], folder: str | None = None) -> Iterator[tuple[np.
             previous = np.zeros(len(active), np.uint16)
             more = sizes[active] > r
             previous[more] = text[ends[active[more]] - r - 1]
-            new = _Files(work, str(r % 2))
-            w = new.write()
             slot = to - np.arange(len(to))  # the old row that each comes before
             alone = np.append(slot[1:] != slot[:-1], True)
-            at = 0
-            fill = {"symbol": previous, "common": np.minimum(before, 255), "string": active, "length": np.full(len(active), r)}
-            total = 0
+            fill = {"symbol": previous, "common": np.minimum(before, 255).astype(np.uint8), "place": active.astype(np.uint64) << np.uint64(32) | np.uint64(r)}
+            new.begin()
+            at = done = 0
             for rows in old.blocks(*FIELDS):
-                block = dict(zip(FIELDS, rows, strict=True))
                 m = len(rows[0])
                 lo, hi = np.searchsorted(slot, (at, at + m))
                 follow = np.arange(lo, hi)[alone[lo:hi] & (after[lo:hi] > 0)]
-                block["common"][slot[follow] - at] = np.minimum(after[follow], 255)
-                w.put({k: np.insert(v, slot[lo:hi] - at, fill[k][lo:hi].astype(v.dtype)) for k, v in block.items()})
+                rows[1] = rows[1].copy()
+                rows[1][slot[follow] - at] = np.minimum(after[follow], 255)
+                into = slot[lo:hi] - at + np.arange(hi - lo)
+                stay = np.ones(m + hi - lo, bool)
+                stay[into] = False
+                out = {}
+                for k, v in zip(FIELDS, rows, strict=True):
+                    out[k] = np.empty(m + hi - lo, v.dtype)
+                    out[k][stay], out[k][into] = v, fill[k][lo:hi]
+                new.put(out)
                 at += m
-                total = hi
-            w.put({k: v[total:] for k, v in fill.items()})
-            w.close()
+                done = hi
+            new.put({k: v[done:] for k, v in fill.items()})
             totals = totals + np.bincount(previous, minlength=257)
-            old = new
+            old, new = new, old
             active, places = active[more], to[more]
-        yield from ((s, length, common) for s, length, common in old.blocks("string", "length", "common"))
+        for place, common in old.blocks("place", "common"):
+            yield (place >> np.uint64(32)).astype(np.int64), (place & np.uint64(0xFFFFFFFF)).astype(np.int64), common
     finally:
+        old.close()
+        new.close()
         shutil.rmtree(work, ignore_errors=True)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kiln.llm.bwt import build
-from kiln.llm.common import materialize, slices
+from kiln.llm.common import materialize, slices, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -53,7 +53,7 @@ def _unpack(b: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-_powers = [np.cumprod(np.concatenate([[1], np.full(BLOCK + 1024, x, np.uint64)]).astype(np.uint64), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 2**64))]
+_powers = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK + 1024, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 2**64))]
 
 
 def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
@@ -151,7 +151,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
                 yield pa.RecordBatch.from_pydict(out, schema=blob_schema)
 
     blob_schema = pa.schema([("bin", pa.int32()), ("kind", pa.int32()), ("blob", pa.binary())])
-    sent = docs.select("doc_id", "text").mapInArrow(found, "bin int, kind int, blob binary")
+    sent = docs.select("doc_id", "text").mapInArrow(tidy(found), "bin int, kind int, blob binary")
 
     def settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """kind 1: spans; 2: segments to compare; 3: segments of hot anchors to compare in parts."""
@@ -175,7 +175,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
             for i in range(0, len(x), 100_000):
                 yield pa.RecordBatch.from_pydict({"bin": [0], "kind": [kind], "blob": [_pack(x[i : i + 100_000])]}, schema=blob_schema)
 
-    settled_ = materialize(sent.repartition(bins, "bin").mapInArrow(settled, "bin int, kind int, blob binary"), "segments")
+    settled_ = materialize(sent.repartition(bins, "bin").mapInArrow(tidy(settled), "bin int, kind int, blob binary"), "segments")
 
     def as_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -183,7 +183,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
                 x = _unpack(blob, SPAN)
                 yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["tie"].astype("i8")), pa.array(x["start"].astype("i8")), pa.array(x["n"].astype("i8"))], names=["doc", "tie", "start", "n"])
 
-    spans = settled_.where("kind = 1").select("blob").mapInArrow(as_spans, "doc long, tie long, start long, n long")
+    spans = settled_.where("kind = 1").select("blob").mapInArrow(tidy(as_spans), "doc long, tie long, start long, n long")
 
     def as_segments(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -192,7 +192,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
                 signed = lambda f: pa.array(np.ascontiguousarray(x[f]).view("i8"))  # noqa: B023, E731
                 yield pa.RecordBatch.from_arrays([pa.array(x["doc"]), pa.array(x["tie"].astype("i8")), signed("key"), signed("start"), pa.array(x["n"].astype("i4")), pa.array(np.full(len(x), kind == 3))], names=["doc", "tie", "key", "start", "n", "hot"])
 
-    wanted = settled_.where("kind > 1").select("kind", "blob").mapInArrow(as_segments, "doc long, tie long, key long, start long, n int, hot boolean")
+    wanted = settled_.where("kind > 1").select("kind", "blob").mapInArrow(tidy(as_segments), "doc long, tie long, key long, start long, n int, hot boolean")
     wanted = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("list"))
     texts = docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("doc"), "text")
     strings = texts.join(wanted, "doc").select("doc", "tie", "text", "list")
@@ -214,7 +214,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
                             c.append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    cutted = strings.mapInArrow(cut, "key long, doc long, tie long, start long, body binary")
+    cutted = strings.mapInArrow(tidy(cut), "key long, doc long, tie long, start long, body binary")
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs_, bodies = [], [], []
@@ -243,7 +243,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
         if keys:
             yield from done()
 
-    more = cutted.repartition(bins, "key").sortWithinPartitions("key").mapInArrow(compared, "doc long, tie long, start long, n long")
+    more = cutted.repartition(bins, "key").sortWithinPartitions("key").mapInArrow(tidy(compared), "doc long, tie long, start long, n long")
     return spans.unionByName(more)
 
 
@@ -316,4 +316,4 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
                     c.append(v)
             yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return joined.mapInArrow(removed, schema)
+    return joined.mapInArrow(tidy(removed), schema)
