@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -76,6 +78,23 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS, rows: int = 512) -
         yield start, len(texts)
 
 
+def tidy(run):
+    """run, for mapInArrow; at its end the worker gives freed memory back, as it stays for later tasks."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # no glibc
+                pass
+
+    return wrapped
+
+
 def mapped(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow over RecordBatches; function(batch) yields dicts of columns or RecordBatches."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -89,4 +108,4 @@ def mapped(df: DataFrame, function, schema: str) -> DataFrame:
                 for made in function(batch):
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if not isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else made[f.name].cast(f.type) for f in out], schema=out)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import slices
+from kiln.llm.common import slices, tidy
 
 SEQUENCE = 2048
 END_ID = 1
@@ -23,8 +23,8 @@ END_ID = 1
 BLOCK_TOKENS = 1_500_000
 #: Sequences of a step group.
 STEP = 16
-SLICE = 1_000_000
-SLOTS_BITS = 21
+SLICE = 400_000
+SLOTS_BITS = 20
 #: White space as Unicode has it (Python's isspace() also takes the four separators 0x1C-0x1F).
 WHITE = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 LETTER, NUMBER, SPACE, OTHER = range(4)
@@ -162,7 +162,7 @@ class PieceCoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32), counts
 
     def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.n > (1 << SLOTS_BITS) // 2:
+        if self.n > (1 << SLOTS_BITS) * 3 // 5:
             self.clear()
         joined = "".join(texts)
         cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -170,7 +170,7 @@ class PieceCoder:
         text_starts = np.cumsum(sizes) - sizes
         s = np.flatnonzero(piece_starts(cps, text_starts))
         e = np.append(s[1:], len(cps))
-        p, q = _powers(1 << max(21, len(cps).bit_length()))
+        p, q = _powers(1 << max(19, len(cps).bit_length()))
         run = np.zeros(len(cps) + 1, np.uint64)
         np.cumsum((cps.astype(np.uint64) + np.uint64(1)) * np.uint64(_GOLD) * p[: len(cps)], out=run[1:])
         h = (run[e] - run[s]) * q[s]
@@ -345,4 +345,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = EN
         if names:
             yield flush()
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)

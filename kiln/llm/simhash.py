@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import mapped, materialize
+from kiln.llm.common import mapped, materialize, tidy
 from kiln.llm.components import components
 
 SHINGLE = 3
@@ -252,7 +252,7 @@ def near_links(nodes: DataFrame, most: int = MAX_BITS, bucket: int = BUCKET) ->
 
     small = shared.where(F.col("n") <= bucket).select("part", "key", "fp")
     partitions = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    links = small.repartition(partitions, "part", "key").sortWithinPartitions("part", "key").mapInArrow(work, "u long, v long")
+    links = small.repartition(partitions, "part", "key").sortWithinPartitions("part", "key").mapInArrow(tidy(work), "u long, v long")
     hot = shared.where(F.col("n") > bucket).select("fp").distinct()
     if most == 2:
         keys = F.array(*(F.col("fp").bitwiseXOR(F.lit(signed(int(x)))) for x in _flips(2)))
@@ -400,7 +400,7 @@ def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: i
         if sum(map(len, marks)) > 1:
             yield done()
 
-    pairs = keyed.select("part", "key", "mark", "fp").repartition(partitions, "part", "key").sortWithinPartitions("part", "key").mapInArrow(work, "u long, v long")
+    pairs = keyed.select("part", "key", "mark", "fp").repartition(partitions, "part", "key").sortWithinPartitions("part", "key").mapInArrow(tidy(work), "u long, v long")
     pairs = materialize(pairs.where("u <> v").distinct(), "pairs")
     wanted = pairs.select(F.col("u").alias("mark")).unionByName(pairs.select(F.col("v").alias("mark"))).distinct()
 
@@ -413,8 +413,9 @@ def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: i
 
     def verified(batch: pa.RecordBatch):
         u, v = [], []
-        for x, y, a, b in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+        for i in range(batch.num_rows):
+            x, y, a, b = (batch.column(k)[i] for k in range(4))
+            x, y, a, b = x.as_py(), y.as_py(), np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             same = len(np.intersect1d(a, b, assume_unique=True))
             if same >= similarity * (len(a) + len(b) - same) - 1e-9 and same:
                 u.append(x)

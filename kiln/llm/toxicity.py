@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import held_out, mapped
+from kiln.llm.common import held_out, mapped, tidy
 
 #: Documented bounds of the samples that the classifier is fitted on; scoring reads every document.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
@@ -20,7 +20,7 @@ WORD = re.compile(r"[^\W\d_]+")
 #: The prior is taken a little lower than the share of toxic labels, so that clean documents stay.
 CAUTION = 0.95
 #: A worker remembers the weights of so many words, then starts anew.
-MEMO = 300_000
+MEMO = 100_000
 
 
 def word_features(word: str) -> tuple[int, ...]:
@@ -246,4 +246,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **b
             p = scores(batch.column(at).to_pylist(), weights.value, bias)
             yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return docs.mapInArrow(tidy(kept), docs.schema)
