@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.operators.ranked import small
+
 CUTOFFS = (10, 20, 50)
 
 
@@ -36,6 +38,24 @@ def mean_average_precision(run: DataFrame, qrels: DataFrame, qids: DataFrame, cu
     return every.join(F.broadcast(got), "k", "left").select("k", F.coalesce("m", F.lit(0.0)).alias("map"))
 
 
+def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(qid, doc_id): documents (doc_id, text) of which the text holds the text of a passage (qid, text).
+
+    A word inside a passage, between white space, is a word of each text that holds it. So the longest such word of
+    each passage is looked up among the distinct words of the documents, and what is found is verified. Passages of
+    fewer than three words have no such word; they are tested against every text.
+    """
+    parts = passages.where("text is not null and text <> ''").select("qid", F.col("text").alias("passage"), F.split("text", r"\s+").alias("w"))
+    long = parts.where("size(w) > 2").select("qid", "passage", F.expr("array_max(transform(slice(w, 2, size(w) - 2), x -> named_struct('n', length(x), 'x', x))).x").alias("word"))
+    short = parts.where("size(w) < 3").select("qid", "passage")
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\s+"))).alias("word"))
+    pairs = words.join(small(long.select("qid", "word")), "word").select("qid", "doc_id").distinct()
+    found = pairs.join(docs, "doc_id").join(small(long.select("qid", "passage")), "qid").where(F.contains("text", F.col("passage"))).select("qid", "doc_id")
+    if short.isEmpty():
+        return found.distinct()
+    return found.unionByName(docs.join(small(short), F.contains("text", F.col("passage"))).select("qid", "doc_id")).distinct()
+
+
 def trec_lines(run: DataFrame, method: str) -> DataFrame:
     """(qid, rank, line): `qid 0 doc_id rank score run_id`, six decimals; order by qid (a string) and rank."""
     cols = (F.col("qid").cast("string"), F.lit("0"), F.col("doc_id").cast("string"), F.col("rank").cast("string"), F.format_string("%.6f", "score"), F.lit(f"{method.lower()}_run"))

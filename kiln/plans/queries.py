@@ -264,8 +264,6 @@ def bool_hit_counts(spark, sf):
 
 # -- incremental
 
-_HALF = "old AS (SELECT doc_id, text FROM documents WHERE lang <> 'fr'), documents2 AS (SELECT doc_id, text FROM old UNION ALL SELECT doc_id, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM old))"
-
 
 def _grown(spark, sf):
     d = documents(spark, sf)
@@ -289,11 +287,7 @@ _QRELS = "qr AS (SELECT item_id AS qid, doc_id FROM benchmark b JOIN documents d
 
 
 def relevance(spark, sf):
-    """Documents that hold a benchmark text: found by its 13-word windows' first words is not needed here, as the texts
-    are few and bounded; each document is tested against all of them in one pass over the text."""
-    q = read_table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("passage"))
-    d = documents(spark, sf).select("doc_id", "text")
-    return d.join(F.broadcast(q), F.contains("text", F.col("passage"))).select("qid", "doc_id")
+    return evaluation.containing(documents(spark, sf).select("doc_id", "text"), items(spark, sf))
 
 
 @query(f"WITH {_QRELS} SELECT qid, doc_id FROM qr")

@@ -134,6 +134,13 @@ def test_evaluation(spark):
     assert lines[0] == "q1 0 a 1 0.500000 tf-idf_run"
 
 
+def test_containing(spark):
+    docs = spark.createDataFrame([(1, "one two three four"), (2, "xone two threey"), (3, "two  three"), (4, None), (1, "one two three four")], "doc_id long, text string")
+    q = spark.createDataFrame([("a", "one two three"), ("b", "two"), ("c", "e four"), ("d", ""), ("e", None), ("f", "two\nthree x")], "qid string, text string")
+    got = sorted(tuple(r) for r in evaluation.containing(docs, q).collect())
+    assert got == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 3), ("c", 1)]
+
+
 def test_incremental_is_a_rebuild(spark, abc):
     catalog = IndexCatalog()
     catalog.register("x", abc)
