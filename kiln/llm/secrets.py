@@ -34,14 +34,23 @@ def _sql(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\x27") + "'"
 
 
-def _spans(text: str, pattern: str) -> str:
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: body with name bound to value, which is evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
+def _spans(text: str, pattern: str, run: int = 128) -> str:
     """SQL: array of (start, end, match) in code points, leftmost and not overlapping.
 
-    split() gives what stands between the matches, so starts follow by adding up lengths.
+    split() gives what stands between the matches, so starts follow by adding up lengths: first those of runs of
+    matches, then within each run from where it begins. So the work doesn't grow with the square of the matches.
     """
     p = _sql(pattern)
-    parts = f"transform(arrays_zip(slice(split({text}, {p}), 1, size(regexp_extract_all({text}, {p}, 0))), regexp_extract_all({text}, {p}, 0)), z -> named_struct('gap', length(z['0']), 'm', z['1']))"
-    return f"aggregate({parts}, named_struct('at', 0, 'out', cast(array() as array<struct<s:int,e:int,m:string>>)), (a, z) -> named_struct('at', a.at + z.gap + length(z.m), 'out', concat(a.out, array(named_struct('s', a.at + z.gap, 'e', a.at + z.gap + length(z.m), 'm', z.m)))), a -> a.out)"
+    parts = _let(f"regexp_extract_all({text}, {p}, 0)", "found", f"transform(arrays_zip(slice(split({text}, {p}), 1, size(found)), found), z -> named_struct('gap', length(z['0']), 'm', z['found']))")
+    runs = f"transform(sequence(0, greatest((size(parts) - 1) div {run}, 0)), c -> slice(parts, cast(c * {run} + 1 as int), {run}))"
+    begins = "aggregate(transform(runs, r -> aggregate(r, 0, (a, z) -> a + z.gap + length(z.m))), array(0), (acc, t) -> concat(acc, array(element_at(acc, -1) + t)))"
+    within = "aggregate(r, named_struct('at', begins[k], 'out', cast(array() as array<struct<s:int,e:int,m:string>>)), (a, z) -> named_struct('at', a.at + z.gap + length(z.m), 'out', concat(a.out, array(named_struct('s', a.at + z.gap, 'e', a.at + z.gap + length(z.m), 'm', z.m)))), a -> a.out)"
+    return _let(parts, "parts", _let(runs, "runs", _let(begins, "begins", f"flatten(transform(runs, (r, k) -> {within}))")))
 
 
 def _best_entropy(text: str, alphabet: str, window: int) -> str:
