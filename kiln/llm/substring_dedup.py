@@ -27,8 +27,8 @@ GRAM = 32
 BLOCK = 1 << 17
 #: The segments of an anchor with more different ones than this are dealt out stretch by stretch.
 HOT = 2000
-#: Segments of one transform; a collection is cut between anchors when it gets larger.
-COLLECTION = 4000
+#: Segments of one collection, before what repeats is cut out of them; it is cut between anchors when it gets larger.
+COLLECTION = 16_000
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
 
@@ -53,7 +53,12 @@ def _unpack(b: bytes, dtype: np.dtype) -> np.ndarray:
     return out
 
 
-_powers = [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(BLOCK + 1024, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 2**64))]
+def _power_tables(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, modulo 2**64."""
+    return [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 2**64))]
+
+
+_powers = _power_tables(BLOCK + 1024)
 
 
 def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
@@ -222,7 +227,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
         def done() -> Iterator[pa.RecordBatch]:
             best: dict[bytes, tuple] = {}
             later = []
-            for body, place in zip(bodies, docs_, strict=True):  # equal strings (of hot anchors): the earliest goes on
+            # Copies of a string are settled first; the earliest one goes on into the transform.
+            for body, place in _shared(bodies, docs_, length):
                 if body in best:
                     later.append((*max(place, best[body]), len(body) - length + 1))
                     place = min(place, best[body])
@@ -247,6 +253,32 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
     return spans.unionByName(more)
 
 
+def _shared(bodies: list[bytes], places: list[tuple], length: int) -> Iterator[tuple[bytes, tuple]]:
+    """The strings cut down to what may be equal elsewhere: from the first to the last stretch whose hash some other
+    stretch of these strings has, too. Strings without such a stretch hold nothing that repeats and are left out."""
+    sizes = np.array([len(b) for b in bodies])
+    x = np.frombuffer(b"".join(bodies), np.uint8).astype(np.uint64)
+    start = np.cumsum(sizes) - sizes
+    p, q = _power_tables(len(x) + 1)
+    run = np.zeros(len(x) + 1, np.uint64)
+    np.cumsum((x + np.uint64(1)) * np.uint64(_MIX) * p[: len(x)], out=run[1:])
+    n = sizes - length + 1
+    string = np.repeat(np.arange(len(bodies)), n)
+    offset = np.arange(len(string)) - np.repeat(np.cumsum(n) - n, n)
+    at = start[string] + offset
+    h = (run[at + length] - run[at]) * q[at]
+    _, which, counts = np.unique(h, return_inverse=True, return_counts=True)
+    some = np.flatnonzero(counts[which] > 1)
+    if not len(some):
+        return
+    of = string[some]
+    first = np.flatnonzero(np.append(True, of[1:] != of[:-1]))
+    last = np.append(first[1:], len(of)) - 1
+    for k, a, b in zip(of[first].tolist(), offset[some[first]].tolist(), offset[some[last]].tolist(), strict=True):
+        doc, tie, begin = places[k]
+        yield bodies[k][a : b + length], (doc, tie, begin + a)
+
+
 def _later(bodies: list[bytes], where: np.ndarray, length: int) -> pa.RecordBatch:
     """Runs of stretches of these strings that are equal to an earlier one."""
     groups, strings, offsets = [], [], []
