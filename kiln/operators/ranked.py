@@ -38,13 +38,13 @@ def search(index: Index, queries: DataFrame, k: int = 5, normalize: bool = True,
     """
     q = query_vectors(index, queries, qid_col, text_col)
     length = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
-    postings = index.postings.join(index.norms, ["doc_id", "doc_ord"])
     if normalize:
-        units = q.join(length, "qid").where("qn > 0").select("qid", "term", (F.col("qw") / F.col("qn")).alias("qw"))
-        dots = postings.join(small(units), "term").groupBy("qid", "doc_id", "doc_ord").agg(F.sum(F.col("qw") * F.col("weight") / F.col("norm")).alias("s"))
+        q = q.join(length, "qid").where("qn > 0").select("qid", "term", (F.col("qw") / F.col("qn")).alias("qw"))
+    # Norms are put on the sums, of which there are far fewer than postings.
+    dots = index.postings.join(small(q.where("qw <> 0")), "term").groupBy("qid", "doc_id", "doc_ord").agg(F.sum(F.col("qw") * F.col("weight")).alias("s")).join(index.norms, ["doc_id", "doc_ord"])
+    if normalize:
+        dots = dots.select("qid", "doc_id", "doc_ord", (F.col("s") / F.col("norm")).alias("s"))
     else:
-        raw = q.where("qw <> 0")
-        dots = postings.join(small(raw), "term").groupBy("qid", "doc_id", "doc_ord", "norm").agg(F.sum(F.col("qw") * F.col("weight")).alias("s"))
         dots = dots.join(length, "qid").select("qid", "doc_id", "doc_ord", F.coalesce(F.try_divide("s", F.col("qn") * F.col("norm")), F.lit(0.0)).alias("s"))
     scored = dots.select("qid", "doc_id", "doc_ord", F.round("s", DIGITS).alias("score"))
     found = top(scored, k)
