@@ -294,8 +294,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
 
 #: Near copies: word shingles and the similarity that counts; independent fingerprints and the bits they may differ in.
 COPY_SHINGLE, COPY_SIMILARITY, COPY_PRINTS, COPY_BITS = 5, 0.8, 8, 3
-#: Buckets up to this size give all their pairs within the bound; larger ones each member's nearest ones and the first.
-COPY_ALL, COPY_NEAREST = 24, 3
+#: Texts that are compared with each other in one task; larger buckets are dealt out by pairs of blocks of this size.
+COPY_BLOCK = 1024
 
 
 def word_prints(text: str | None, prints: int = COPY_PRINTS) -> list[int]:
@@ -321,22 +321,100 @@ def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))] if words else [], np.uint64))
 
 
-def bucket_pairs(fps: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
-    """Index pairs of a bucket within the bound: all, or for large buckets each one's nearest and the first of its kind."""
-    n = len(fps)
-    for i in range(n):
-        if n <= COPY_ALL:
-            j = i + 1 + np.flatnonzero(np.bitwise_count(fps[i + 1 :] ^ fps[i]) <= most)
-        else:
-            d = np.bitwise_count(fps ^ fps[i])
-            d[i] = 65
-            near = np.flatnonzero(d <= most)
-            j = np.unique(np.append(near[np.argsort(d[near], kind="stable")[:COPY_NEAREST]], near[:1]))
-        for k in j.tolist():
-            yield i, k
+def set_links(sets: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, across: bool, similarity: float) -> Iterator[tuple[int, int]]:
+    """Index pairs that connect, beyond the components in roots, all sets whose Jaccard similarity reaches the bound; with
+    across, of different sides only. Every pair of different components is computed, so none is left to chance."""
+    sizes = np.array([len(x) for x in sets])
+    starts = np.append(0, np.cumsum(sizes)[:-1])
+    values, tokens = np.unique(np.concatenate(sets), return_inverse=True)
+    now = np.unique(roots, return_inverse=True)[1]
+    flags = np.zeros(len(values), np.int64)
+    for i in range(len(sets) - 1):
+        open_ = (now != now[i]) & (np.minimum(sizes, sizes[i]) >= similarity * np.maximum(sizes, sizes[i]) - 1e-9)
+        open_[: i + 1] = False
+        if across:
+            open_ &= sides != sides[i]
+        if not open_.any():
+            continue
+        own = tokens[starts[i] : starts[i] + sizes[i]]
+        flags[own] = 1
+        same = np.add.reduceat(flags[tokens], starts)
+        flags[own] = 0
+        for j in np.flatnonzero(open_ & (same > 0) & (same >= similarity * (sizes + sizes[i] - same) - 1e-9)).tolist():
+            if now[j] != now[i]:
+                now[now == now[j]] = now[i]
+                yield i, j
+
+
+def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: int, block: int) -> DataFrame:
+    """(u, v) marks: links that connect all texts (doc_id, text, mark) that share a key of keyed (key, mark) and whose
+    Jaccard similarity reaches the bound.
+
+    Each bucket's texts are first compared with its least mark. Where that leaves a bucket in several components, all
+    its pairs of different components are compared: the texts outside its largest component with each other and with
+    that one, in blocks, so that no key's texts need be in one task. Buckets with the same texts are one.
+    """
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("mark").alias("first"), F.bit_xor("mark").alias("s"), F.bit_xor(F.xxhash64("mark")).alias("t")).where("n > 1")
+    sizes = sizes.groupBy("n", "first", "s", "t").agg(F.min("key").alias("key")).select("key", "n", "first")
+    shared = materialize(keyed.join(sizes, "key").select("key", "n", "first", "mark"), "buckets")
+
+    def sets(batch: pa.RecordBatch):
+        yield {"mark": batch.column(0), "set": [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]}
+
+    texts = docs.select("mark", "text").join(shared.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+    found = materialize(mapped(texts, sets, "mark long, set binary"), "sets")
+    pairs = shared.where("first <> mark").select(F.col("first").alias("u"), F.col("mark").alias("v")).distinct()
+    both = pairs.join(found.select(F.col("mark").alias("u"), F.col("set").alias("a")), "u").join(found.select(F.col("mark").alias("v"), F.col("set").alias("b")), "v")
+
+    def verified(batch: pa.RecordBatch):
+        u, v = [], []
+        for i in range(batch.num_rows):
+            x, y, a, b = (batch.column(k)[i] for k in range(4))
+            x, y, a, b = x.as_py(), y.as_py(), np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            same = len(np.intersect1d(a, b, assume_unique=True))
+            if same >= similarity * (len(a) + len(b) - same) - 1e-9 and same:
+                u.append(x)
+                v.append(y)
+        yield {"u": u, "v": v}
+
+    links = materialize(mapped(both.select("u", "v", "a", "b"), verified, "u long, v long"), "links")
+    # Buckets of two are settled; larger ones that are in several components yet are compared whole.
+    roots = components(links).withColumnRenamed("node", "mark")
+    rest = shared.where("n > 2").join(roots, "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
+    parts = rest.groupBy("key", "root").agg(F.count("*").alias("c"))
+    parts = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top")).where("n > top.c")
+    blocks = lambda c: F.ceil(c / F.lit(block)).cast("int")
+    dealt = rest.join(parts.select("key", F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.c")).alias("few"), blocks(F.col("top.c")).alias("many")), "key")
+    at = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)).cast("int")
+    inside = F.col("root") == F.col("top")
+    dealt = dealt.withColumn("side", F.when(inside, F.col("few") + at("many")).otherwise(at("few")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
+    dealt = dealt.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "mark", "root").join(found, "mark")
+
+    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def done() -> pa.RecordBatch:
+            side, mark, root, body = zip(*held, strict=True)
+            got = list(set_links([np.frombuffer(x, np.uint64) for x in body], np.array(root), np.array(side), now[1] != now[2], similarity))
+            return pa.RecordBatch.from_pydict({"u": [mark[i] for i, _ in got], "v": [mark[j] for _, j in got]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+
+        for batch in batches:
+            for *task, side, mark, root, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != task:
+                    if len(held) > 1:
+                        yield done()
+                    now, held = task, []
+                held.append((side, mark, root, body))
+        if len(held) > 1:
+            yield done()
+
+    dealt = dealt.select("key", "lo", "hi", "side", "mark", "root", "set").repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    return links.unionByName(dealt.mapInArrow(tidy(work), "u long, v long"))
 
 
-def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE, most: int = COPY_BITS, prints: int = COPY_PRINTS) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE, most: int = COPY_BITS, prints: int = COPY_PRINTS, block: int = COPY_BLOCK) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, mark (hash of the text), keep_id, the smallest id of its group.
 
     Candidates: texts of which one of several independent SimHash fingerprints differs in few bits, found by the
@@ -344,7 +422,6 @@ def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: i
     over the whole texts, reaches the bound; groups are the connected components. Texts without words are in no group,
     texts shorter than a shingle are one shingle. Null ids are never the one that stays unless all are.
     """
-    spark = docs.sparkSession
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def made(batch: pa.RecordBatch):
@@ -352,7 +429,8 @@ def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: i
         yield {"doc_id": batch.column(0), "mark": batch.column(1), "fps": rows}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    slim = materialize(mapped(docs.select("doc_id", mark.alias("mark"), F.col("text").cast("string").alias("text")), made, f"doc_id {kind}, mark long, fps array<bigint>"), "prints")
+    texts = docs.select("doc_id", mark.alias("mark"), F.col("text").cast("string").alias("text"))
+    slim = materialize(mapped(texts, made, f"doc_id {kind}, mark long, fps array<bigint>"), "prints")
     # Equal texts are one node; the mark stands for the text.
     nodes = slim.where(~F.forall("fps", lambda x: x == 0)).groupBy("mark").agg(F.first("fps").alias("fps"))
     n, p, correlation = bit_statistics(nodes.select(F.col("fps")[0].alias("fp")))
@@ -363,66 +441,11 @@ def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: i
     for k, (bits, radius) in enumerate(parts):
         m = F.lit(signed(_mask(bits)))
         balls = F.array(*(F.lit(signed(x)) for x in _ball(bits, radius)))
-        one = each.select("mark", "fp", (F.col("print") * 8 + k).alias("part"), F.explode(F.transform(balls, lambda x: F.col("fp").bitwiseAND(m).bitwiseXOR(x))).alias("key"))  # noqa: B023
+        one = each.select("mark", F.explode(F.transform(balls, lambda x: F.xxhash64("print", F.lit(k), F.col("fp").bitwiseAND(m).bitwiseXOR(x)))).alias("key"))  # noqa: B023
         keyed = one if keyed is None else keyed.unionByName(one)
     if keyed is None:
         return slim.select("doc_id", "mark", F.col("doc_id").alias("keep_id"))
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # Hot keys (many near copies) are dealt out further by a slice of the rest of the fingerprint, besides as they are in parts.
-    pairs_schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, marks, fps = None, [], []
-
-        def done() -> pa.RecordBatch:
-            m, f = np.concatenate(marks), np.concatenate(fps)
-            m, at = np.unique(m, return_index=True)
-            f = f[at].view(np.uint64)
-            u, v = [], []
-            for a in range(0, len(m), 4096):  # of very large buckets, parts
-                for i, j in bucket_pairs(f[a : a + 4096], most):
-                    u.append(min(m[a + i], m[a + j]))
-                    v.append(max(m[a + i], m[a + j]))
-            return pa.RecordBatch.from_pydict({"u": u, "v": v}, schema=pairs_schema)
-
-        for batch in batches:
-            part, key, mk, fp = (batch.column(i).to_numpy() for i in range(4))
-            if not len(part):
-                continue
-            edge = np.flatnonzero((part[1:] != part[:-1]) | (key[1:] != key[:-1])) + 1
-            for a, b in zip(np.append(0, edge).tolist(), np.append(edge, len(part)).tolist(), strict=True):
-                if now != (part[a], key[a]):
-                    if sum(map(len, marks)) > 1:
-                        yield done()
-                    now, marks, fps = (part[a], key[a]), [], []
-                marks.append(mk[a:b].copy())
-                fps.append(fp[a:b].copy())
-        if sum(map(len, marks)) > 1:
-            yield done()
-
-    pairs = keyed.select("part", "key", "mark", "fp").repartition(partitions, "part", "key").sortWithinPartitions("part", "key").mapInArrow(tidy(work), "u long, v long")
-    pairs = materialize(pairs.where("u <> v").distinct(), "pairs")
-    wanted = pairs.select(F.col("u").alias("mark")).unionByName(pairs.select(F.col("v").alias("mark"))).distinct()
-
-    def sets(batch: pa.RecordBatch):
-        yield {"mark": batch.column(0), "set": [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]}
-
-    texts = docs.select(mark.alias("mark"), F.col("text").cast("string").alias("text")).join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
-    found = materialize(mapped(texts, sets, "mark long, set binary"), "sets")
-    both = pairs.join(found.select(F.col("mark").alias("u"), F.col("set").alias("a")), "u").join(found.select(F.col("mark").alias("v"), F.col("set").alias("b")), "v")
-
-    def verified(batch: pa.RecordBatch):
-        u, v = [], []
-        for i in range(batch.num_rows):
-            x, y, a, b = (batch.column(k)[i] for k in range(4))
-            x, y, a, b = x.as_py(), y.as_py(), np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            same = len(np.intersect1d(a, b, assume_unique=True))
-            if same >= similarity * (len(a) + len(b) - same) - 1e-9 and same:
-                u.append(x)
-                v.append(y)
-        yield {"u": u, "v": v}
-
-    roots = components(mapped(both.select("u", "v", "a", "b"), verified, "u long, v long"))
+    roots = components(copy_links(texts, keyed, similarity, shingle, block))
     labels = slim.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     keep = labels.where(~F.forall("fps", lambda x: x == 0)).groupBy("root").agg(F.min("doc_id").alias("keep_id"))
     return labels.join(keep, "root", "left").select("doc_id", "mark", F.when(F.forall("fps", lambda x: x == 0), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"))
