@@ -292,28 +292,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
     return made.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Near copies: word shingles and the similarity that counts; independent fingerprints and the bits they may differ in.
-COPY_SHINGLE, COPY_SIMILARITY, COPY_PRINTS, COPY_BITS = 5, 0.8, 8, 3
+#: Near copies: word shingles and the similarity that counts; bands of min-hashes. Two sets of Jaccard similarity 0.8
+#: have no band in common with probability (1 - 0.8 ** 4) ** 24 = 3e-6.
+COPY_SHINGLE, COPY_SIMILARITY, COPY_BANDS, COPY_ROWS = 5, 0.8, 24, 4
 #: Texts that are compared with each other in one task; larger buckets are dealt out by pairs of blocks of this size.
 COPY_BLOCK = 1024
 
 
-def word_prints(text: str | None, prints: int = COPY_PRINTS) -> list[int]:
-    """Independent fingerprints of the set of distinct words. Few words of a near copy differ, so few bits do."""
-    words = sorted(set(text.encode("utf-8", "surrogatepass").lower().split())) if text else []
-    if not words:
-        return [0] * prints
-    counts = np.zeros((prints, 64), np.int64)
-    for i in range(0, len(words), BATCH // 8):
-        h = np.array([xxhash.xxh3_64_intdigest(w, SEED) for w in words[i : i + BATCH // 8]], np.uint64)
-        for k in range(prints):
-            x = h * np.uint64(0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1)
-            x ^= x >> np.uint64(32)
-            x *= np.uint64(0xD6E8FEB86659FD93)
-            x ^= x >> np.uint64(29)
-            counts[k] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * counts > len(words), axis=1, bitorder="little")
-    return bits.view("<u8").ravel().astype(np.uint64).view(np.int64).tolist()
+def band_keys(shingles: np.ndarray, bands: int = COPY_BANDS, rows: int = COPY_ROWS) -> list[int]:
+    """One key for each band, a hash of the band's number and its min-hashes over the set of shingles; none without any."""
+    if not len(shingles):
+        return []
+    least = np.full(bands * rows, ~np.uint64(0))
+    odd = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1 for k in range(bands * rows)], np.uint64)
+    for i in range(0, len(shingles), BATCH // 16):
+        h = odd[:, None] * shingles[i : i + BATCH // 16]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        least = np.minimum(least, h.min(1))
+    least = least.reshape(bands, rows)
+    return [xxhash.xxh3_64_intdigest(least[k].tobytes(), k) - (1 << 63) for k in range(bands)]
 
 
 def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
@@ -414,38 +412,26 @@ def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: in
     return links.unionByName(dealt.mapInArrow(tidy(work), "u long, v long"))
 
 
-def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE, most: int = COPY_BITS, prints: int = COPY_PRINTS, block: int = COPY_BLOCK) -> DataFrame:
+def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE, bands: int = COPY_BANDS, rows: int = COPY_ROWS, block: int = COPY_BLOCK) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, mark (hash of the text), keep_id, the smallest id of its group.
 
-    Candidates: texts of which one of several independent SimHash fingerprints differs in few bits, found by the
-    generalised pigeonhole groups of bits. They are linked if the Jaccard similarity of their word shingles, computed
-    over the whole texts, reaches the bound; groups are the connected components. Texts without words are in no group,
-    texts shorter than a shingle are one shingle. Null ids are never the one that stays unless all are.
+    Candidates: texts that agree in all min-hashes of one of the bands, over their word shingles. They are linked if the
+    Jaccard similarity of the shingles, computed over the whole texts, reaches the bound; groups are the connected
+    components. Texts without words are in no group, texts shorter than a shingle are one shingle. Null ids are never
+    the one that stays unless all are.
     """
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def made(batch: pa.RecordBatch):
-        rows = [word_prints(t, prints) for t in batch.column(2).to_pylist()]
-        yield {"doc_id": batch.column(0), "mark": batch.column(1), "fps": rows}
+        keys = [band_keys(shingle_set(t, shingle), bands, rows) for t in batch.column(2).to_pylist()]
+        yield {"doc_id": batch.column(0), "mark": batch.column(1), "keys": keys}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", mark.alias("mark"), F.col("text").cast("string").alias("text"))
-    slim = materialize(mapped(texts, made, f"doc_id {kind}, mark long, fps array<bigint>"), "prints")
+    slim = materialize(mapped(texts, made, f"doc_id {kind}, mark long, keys array<bigint>"), "bands")
     # Equal texts are one node; the mark stands for the text.
-    nodes = slim.where(~F.forall("fps", lambda x: x == 0)).groupBy("mark").agg(F.first("fps").alias("fps"))
-    n, p, correlation = bit_statistics(nodes.select(F.col("fps")[0].alias("fp")))
-    parts = plan(n, p, correlation, most) if n > 1 else []
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    keyed = None
-    each = nodes.select("mark", F.posexplode("fps").alias("print", "fp"))
-    for k, (bits, radius) in enumerate(parts):
-        m = F.lit(signed(_mask(bits)))
-        balls = F.array(*(F.lit(signed(x)) for x in _ball(bits, radius)))
-        one = each.select("mark", F.explode(F.transform(balls, lambda x: F.xxhash64("print", F.lit(k), F.col("fp").bitwiseAND(m).bitwiseXOR(x)))).alias("key"))  # noqa: B023
-        keyed = one if keyed is None else keyed.unionByName(one)
-    if keyed is None:
-        return slim.select("doc_id", "mark", F.col("doc_id").alias("keep_id"))
-    roots = components(copy_links(texts, keyed, similarity, shingle, block))
-    labels = slim.join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
-    keep = labels.where(~F.forall("fps", lambda x: x == 0)).groupBy("root").agg(F.min("doc_id").alias("keep_id"))
-    return labels.join(keep, "root", "left").select("doc_id", "mark", F.when(F.forall("fps", lambda x: x == 0), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"))
+    nodes = slim.where(F.size("keys") > 0).groupBy("mark").agg(F.first("keys").alias("keys"))
+    roots = components(copy_links(texts, nodes.select("mark", F.explode("keys").alias("key")), similarity, shingle, block))
+    labels = slim.select("doc_id", "mark", (F.size("keys") > 0).alias("worded")).join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    keep = labels.where("worded").groupBy("root").agg(F.min("doc_id").alias("keep_id"))
+    return labels.join(keep, "root", "left").select("doc_id", "mark", F.when(F.col("worded"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"))

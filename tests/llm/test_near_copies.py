@@ -25,6 +25,22 @@ def test_large_buckets_lose_no_link(spark):
     assert got == {i: i % 40 for i, _ in rows}
 
 
+def test_recall_of_blocks_and_short_texts(spark):
+    rng = random.Random(8)
+    words = lambda n: ["".join(rng.choice("abcdefghijklmnop") for _ in range(7)) for _ in range(n)]
+    rows = []
+    for _ in range(12):
+        base = words(170)
+        long = words(400)
+        short = words(14)
+        pairs = [(base, base + words(36)), (base, words(36) + base), (base, base[:142]), (base, base[28:]), (long, long + words(60)), (short, [*short[:-1], *words(1)])]
+        for a, b in pairs:
+            tag = f"t{len(rows)}"  # so that the pairs of one base share no shingle
+            rows += [(len(rows), " ".join(w + tag for w in a)), (len(rows) + 1, " ".join(w + tag for w in b))]
+    got = {r.doc_id: r.keep_id for r in sim.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i // 2 * 2 for i, _ in rows}
+
+
 def test_bucket_dealt_out_in_blocks(spark):
     rows = shuffled_pairs(30)
     df = spark.createDataFrame([(i, t, 1000 + i) for i, t in rows], "doc_id long, text string, mark long")
