@@ -229,6 +229,8 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
             later = []
             # Copies of a string are settled first; the earliest one goes on into the transform.
             for body, place in _shared(bodies, docs_, length):
+                if best.get(body) == place:  # a repeated row
+                    continue
                 if body in best:
                     later.append((*max(place, best[body]), len(body) - length + 1))
                     place = min(place, best[body])
