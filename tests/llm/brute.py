@@ -24,15 +24,16 @@ def secrets(text: str | None) -> dict:
     base = [(m.start(), i, f"{k}:{m.start()}:{m.end()}") for i, (k, p, ok) in enumerate(kinds) for m in p.finditer(text) if ok(m)]
     more = []
     allow = re.compile(r"^(?:[A-Za-z]+|[0-9]+|[-_=+/]+|[A-Za-z]+(?:[-_/][A-Za-z]+)*|.*(?i:example|placeholder|changeme|lorem).*)$")
+    low, up, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    classes = ((digits + "abcdef", 3.0), (digits + "ABCDEF", 3.0), (low + digits, 3.5), (up + digits, 3.4), (None, 3.7))
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
-        best = {}
-        for name, alphabet, least in (("hex", "0123456789abcdef", 3.0), ("b64", None, 3.9)):
-            best[name] = False
+        best = dict.fromkeys(range(len(classes)), False)
+        for k, (alphabet, least) in enumerate(classes):
             for i in range(len(m[0]) - 19):
                 w = m[0][i : i + 20]
                 if alphabet is None or all(c in alphabet for c in w):
                     h = -sum(c / 20 * math.log2(c / 20) for c in Counter(w).values())
-                    best[name] |= h >= least - 1e-12
+                    best[k] |= h >= least - 1e-9
         if any(best.values()) and not allow.match(m[0]):
             more.append((m.start(), 3, f"entropy:{m.start()}:{m.end()}"))
     return {
