@@ -9,6 +9,9 @@ from kiln.llm.common import materialize, text_or_empty
 
 #: Ids of rows in groups are broadcast up to this many (24 MB as longs with their hash table), else joined by shuffle.
 BROADCAST_IDS = 500_000
+#: Groups of more rows than this, or than a share of 1 / HOT_GROUPS of all, are placed by a broadcast of their hashes; there
+#: are fewer than HOT_GROUPS of them whatever the input.
+HOT_ROWS, HOT_GROUPS = 1000, 100_000
 
 
 def normalised(col: str = "text") -> Column:
@@ -23,12 +26,23 @@ def _best() -> Column:
     return F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id")))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _placed(slim: DataFrame, groups: DataFrame, hot_rows: int, broadcast_ids: int) -> DataFrame:
+    """Rows with the group they are in; rows that are alone have their own id and 1."""
+    own = lambda df: df.select("doc_id", "h", "text_sha256", F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("size", F.lit(1).cast("long")).alias("size"))
+    if groups.limit(broadcast_ids + 1).count() <= broadcast_ids:
+        return own(slim.join(F.broadcast(groups), "h", "left"))
+    hot = F.col("size") > max(hot_rows, slim.count() // HOT_GROUPS)
+    first = slim.join(F.broadcast(groups.where(hot)), "h", "left")
+    rest = first.where("size is null").drop("keep_id", "size").join(groups.where(~hot), "h", "left")
+    return own(first.where("size is not null")).unionByName(own(rest))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot_rows: int = HOT_ROWS, broadcast_ids: int = BROADCAST_IDS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when they are without the six ASCII white-space characters. The row with the most code
-    points in its original text stays, then the smallest id. Groups come from a 128-bit hash; the bytes of every
-    member are then compared with those of the row that stays, and what differs is grouped by its bytes.
+    points in its original text stays, then the smallest id. Groups come from a 128-bit hash; the members of
+    each are then grouped by their bytes, and a group with several texts is taken apart.
 
     Null text is the empty text; all empty texts are one group. A null id sorts after all others, and is kept
     only if no other id is as good. Rows that repeat an id and a text share the decision of that id. An empty
@@ -40,28 +54,24 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         source.select("doc_id", F.length(text_or_empty()).cast("long").alias("n"), norm.alias("norm")).select("doc_id", "n", F.unhex(F.md5(F.col("norm").cast("binary"))).alias("h"), F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")),
         "exact",
     )
-    groups = slim.groupBy("h").agg(_best().alias("best"), F.count("*").alias("size")).select("h", F.col("best.doc_id").alias("keep_id"), "size")
-    placed = materialize(slim.join(groups, "h"), "exact-groups")
-    inside = placed.where("size > 1").select("doc_id", "h", "keep_id")
+    groups = slim.groupBy("h").agg(_best().alias("best"), F.count("*").alias("size")).where("size > 1").select("h", F.col("best.doc_id").alias("keep_id"), "size")
+    groups = materialize(groups, "exact-groups")
+    placed = materialize(_placed(slim, groups, hot_rows, broadcast_ids), "exact-placed")
+    inside = placed.where("size > 1").select("doc_id", "h").distinct()
 
-    # Bytes: only the texts of groups with several rows are read again and dealt out.
-    small = inside.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    wanted = inside.select("doc_id").where("doc_id is not null").distinct()
-    members = source.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").unionByName(source.where("doc_id is null")).select("doc_id", F.length(text_or_empty()).cast("long").alias("n"), norm.alias("norm")).withColumn("h", F.unhex(F.md5(F.col("norm").cast("binary"))))
-    keepers = inside.where("doc_id <=> keep_id").select(F.col("doc_id").alias("keep_id"), "h").distinct()
-    keepers = members.join(F.broadcast(keepers) if small else keepers, (members["doc_id"].eqNullSafe(keepers["keep_id"])) & (members["h"] == keepers["h"]), "left_semi")
-    keepers = keepers.groupBy("h").agg(F.min("norm").alias("keep_norm"))
-    odd = materialize(members.join(keepers, "h").where("norm <> keep_norm").select("doc_id", "n", "h", "norm"), "exact-collisions")
-    # Equal hash, other bytes: grouped by the bytes themselves.
-    own = odd.groupBy("h", "norm").agg(_best().alias("best"), F.count("*").alias("own_size")).select("h", "norm", F.col("best.doc_id").alias("own_keep"), "own_size")
-    own = odd.join(own, ["h", "norm"]).select("doc_id", "h", "own_keep", "own_size", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256")).distinct()
-    if odd.isEmpty():
-        done = placed.select("doc_id", "keep_id", "size", "text_sha256")
-    else:
-        gone = odd.groupBy("h").agg(F.count("*").alias("gone"))
-        done = (
-            placed.join(gone, "h", "left")
-            .join(own.withColumnRenamed("doc_id", "own_id"), (F.col("doc_id").eqNullSafe(F.col("own_id"))) & (placed["h"] == own["h"]) & (placed["text_sha256"] == own["text_sha256"]), "left")
-            .select("doc_id", F.when(F.col("own_size").isNotNull(), F.col("own_keep")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("own_size", F.col("size") - F.coalesce("gone", F.lit(0))).alias("size"), placed["text_sha256"])
-        )
+    # Bytes: only the texts of groups with several rows are read again. Equal ones are put together in each task before
+    # anything is shuffled, so that a group goes on as one row a task, however large it is.
+    few = lambda df: F.broadcast(df) if df.limit(broadcast_ids + 1).count() <= broadcast_ids else df
+    hashed = F.unhex(F.md5(F.col("norm").cast("binary")))
+    texts = source.select("doc_id", F.length(text_or_empty()).cast("long").alias("n"), norm.alias("norm"))
+    named = texts.join(few(inside.where("doc_id is not null")), "doc_id").where(F.col("h") == hashed)
+    nameless = texts.where("doc_id is null").withColumn("h", hashed).join(few(inside.where("doc_id is null").select("h")), "h")
+    members = named.select("doc_id", "n", "norm", "h").unionByName(nameless.select("doc_id", "n", "norm", "h"))
+    collided = materialize(members.select("h", "norm").distinct().groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "exact-collisions")
+    if collided.isEmpty():
+        done = placed
+    else:  # equal hash, other bytes: grouped by the bytes themselves
+        own = members.join(few(collided), "h", "left_semi").groupBy("h", "norm").agg(_best().alias("best"), F.count("*").alias("own_size"))
+        own = own.select("h", F.sha2(F.col("norm").cast("binary"), 256).alias("text_sha256"), F.col("best.doc_id").alias("own_keep"), "own_size")
+        done = placed.join(own, ["h", "text_sha256"], "left").select("doc_id", F.when(F.col("own_size").isNotNull(), F.col("own_keep")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("own_size", "size").alias("size"), "text_sha256")
     return done.select("doc_id", "keep_id", F.col("size").alias("group_size"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")

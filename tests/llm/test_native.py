@@ -21,8 +21,9 @@ def docs(spark, rows):
 ROWS = [(1, "a b"), (2, "ab "), (3, " a\tb\n"), (4, None), (5, ""), (6, " \r\x0b\x0c"), (7, "é b"), (8, "éb"), (9, "A b"), (None, "ab"), (10, " "), (11, "𝔘𝔘 "), (12, "𝔘𝔘")]
 
 
-def test_exact_dedup_against_groups(spark):
-    got = {r.doc_id: r for r in exact_dedup(docs(spark, ROWS)).collect()}
+@pytest.mark.parametrize("options", [{}, {"hot_rows": 2, "broadcast_ids": 0}])
+def test_exact_dedup_against_groups(spark, options):
+    got = {r.doc_id: r for r in exact_dedup(docs(spark, ROWS), **options).collect()}
     assert len(got) == len(ROWS)
     by = {}
     for i, t in ROWS:
@@ -40,6 +41,12 @@ def test_exact_dedup_empty_and_repeated_rows(spark):
     assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 1, 3, True), (1, 1, 3, True), (2, 1, 3, False)]
 
 
+def test_exact_dedup_large_group_and_long_text(spark):
+    rows = [(i, "the same page " + " " * (i % 7)) for i in range(3000)] + [(5000, "x" * 3_000_000), (5001, "x " * 3_000_000), (5002, "x" * 2_999_999)]
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup(docs(spark, rows), hot_rows=100, broadcast_ids=0).collect()}
+    assert {got[i] for i in range(3000)} == {(6, 3000)} and got[5000] == got[5001] == (5001, 2) and got[5002] == (5002, 1)
+
+
 def test_exact_dedup_compares_bytes(spark, monkeypatch):
     """With a hash that always collides, groups still follow the bytes."""
     real = F.md5
