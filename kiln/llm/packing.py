@@ -1,4 +1,5 @@
-"""Packing documents into token sequences: tiers by length, best fit within them, gaps of long windows filled from shorter tiers."""
+"""Packing documents into token sequences: every document goes to the tier of the smallest window that holds it, each tier
+is packed by best fit into windows of its own size, gaps of long windows are filled from shorter tiers."""
 
 from __future__ import annotations
 
@@ -21,6 +22,8 @@ SEQUENCE = 2048
 END_ID = 1
 #: Tokens that are packed together; a task holds the ids of one such block.
 BLOCK_TOKENS = 1_500_000
+#: The smallest window that documents are packed into; longer ones double it up to a sequence.
+SHORTEST = 256
 #: Sequences of a step group.
 STEP = 16
 SLICE = 400_000
@@ -217,42 +220,62 @@ def cut(text: str, limit: int = SLICE) -> Iterator[str]:
     yield text[start:]
 
 
-def pack_block(lengths: list[int], size: int = SEQUENCE) -> list[list[tuple[int, int, int]]]:
+def tier_sizes(size: int = SEQUENCE, shortest: int = SHORTEST) -> list[int]:
+    """Window sizes, the longest first: halves of size down to the shortest."""
+    return [size >> k for k in range(size.bit_length()) if size >> k >= min(shortest, size)]
+
+
+def pack_block(lengths: list[int], size: int = SEQUENCE, shortest: int = SHORTEST) -> list[list[tuple[int, int, int]]]:
     """Sequences of (document, start, length); lengths are those of the documents.
 
-    Tiers are the powers of two up to size. Whole windows are cut from long documents first. The rests are routed to
-    the smallest tier that holds them. From the longest tier down, the longest piece opens a window and the longest
-    piece of any tier that fits goes into its gap, again and again; where none fits, the shortest piece that is longer
-    is cut to fill it. So only the last window of a block can have a gap; its pieces are dealt into sequences whose
-    lengths are powers of two, which need no padding.
+    Documents longer than size give whole windows first. Every document, or what is left of it, is routed to the tier of
+    the smallest window that holds it, and each tier is packed into windows of its own size, the longest tier first: its
+    longest piece opens a window, and into the gap goes the longest piece that fits, of this tier or a shorter one, again
+    and again. Where none fits, the shortest piece is cut to fill it, and its rest is routed anew. So all windows are full.
+    What does not make up a window of its tier at the end (less than one) is dealt into sequences whose lengths are powers
+    of two, which need no padding either.
     """
+    sizes = tier_sizes(size, shortest)
+    pools: list[list[tuple[int, int, int]]] = [[] for _ in sizes]  # by tier: length, document, start; sorted
     out: list[list[tuple[int, int, int]]] = []
-    pool: list[tuple[int, int, int]] = []  # length, document, start: sorted, so each tier is a stretch of it
+
+    def tier_of(n: int) -> int:
+        return min((size // n).bit_length(), len(sizes)) - 1 if n < size else 0
+
     for d, n in enumerate(lengths):
         for at in range(0, n - size + 1, size):
             out.append([(d, at, size)])
         if n % size:
-            pool.append((n % size, d, n - n % size))
-    pool.sort()
-    left = sum(x[0] for x in pool)
-    while left >= size:
-        n, d, at = pool.pop()
-        window, gap = [(d, at, n)], size - n
-        while gap:
+            pools[tier_of(n % size)].append((n % size, d, n - n % size))
+    for pool in pools:
+        pool.sort()
+    left = sum(n for pool in pools for n, _, _ in pool)
+
+    def fitting(gap: int) -> tuple[int, int, int] | None:
+        for pool in pools[tier_of(gap) :]:
             i = bisect.bisect_right(pool, (gap, len(lengths), 0))
             if i:
-                n, d, at = pool.pop(i - 1)
-                window.append((d, at, n))
-                gap -= n
-            else:
-                n, d, at = pool.pop(0)
-                window.append((d, at, gap))
-                bisect.insort(pool, (n - gap, d, at + gap))
-                gap = 0
-        out.append(window)
-        left -= size
+                return pool.pop(i - 1)
+        return None
+
+    for k, tier in enumerate(sizes):
+        while pools[k] and left >= tier:
+            n, d, at = pools[k].pop()
+            window, gap = [(d, at, n)], tier - n
+            while gap:
+                if (piece := fitting(gap)) is not None:
+                    n, d, at = piece
+                    window.append((d, at, n))
+                    gap -= n
+                else:
+                    n, d, at = next(pool for pool in reversed(pools) if pool).pop(0)
+                    window.append((d, at, gap))
+                    bisect.insort(pools[tier_of(n - gap)], (n - gap, d, at + gap))
+                    gap = 0
+            out.append(window)
+            left -= tier
+    rest = [(d, at, n) for pool in pools for n, d, at in reversed(pool)]
     tier = size
-    rest = [(d, at, n) for n, d, at in reversed(pool)]
     while rest:
         while tier > left:
             tier //= 2
@@ -270,7 +293,8 @@ def pack_block(lengths: list[int], size: int = SEQUENCE) -> list[list[tuple[int,
 
 
 def step_groups(sequences: list[list[tuple[int, int, int]]], step: int = STEP) -> list[int]:
-    """A group for each sequence, so that groups have alike sums of squared piece lengths (the cost of attention)."""
+    """A group for each sequence, over all tiers, so that groups have alike sums of squared piece lengths (the cost of
+    attention) and alike shares of the tiers."""
     groups = max(1, -(-len(sequences) // step))
     order = sorted(range(len(sequences)), key=lambda i: (-sum(n * n for _, _, n in sequences[i]), i))
     out = [0] * len(sequences)
@@ -295,7 +319,8 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = EN
     tokenizer: path of the vocabulary file, the same on all machines. Each document is its ids and end_id, so null and
     empty texts are one token. Each task packs blocks of its own documents, so nothing is shuffled and no key can be
     hot; sequence ids hold the partition, and come out the same when a task runs again. tier: the padded length,
-    size or a power of two below. step_group: groups of sequences of a block of like cost. with_ids adds the ids.
+    size or a power of two below; windows of a
+    tier are full, so nothing is padded. step_group: groups of sequences of a block of like cost. with_ids adds the ids.
     Rows that repeat and null ids are packed like any others.
     """
     if size & (size - 1):
