@@ -342,12 +342,16 @@ class Transducer:
         return out
 
     def _scan(self, symbols: np.ndarray, cps: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Tokens of each chunk (a row).
+        """Tokens of each run of chunks (rows), put on the run's first chunk.
 
-        After white space the state is S whatever it was before. So a chunk with white space is a constant map from
-        there on: all these tails run side by side first. What comes before it in the chunk (its head) needs the
-        entry state. Heads of which the entry is known run side by side, until all have run; a chunk without white
-        space passes its end state on to the next.
+        After white space the state is S whatever it was before, so what comes after the first white space of a chunk (its
+        tail) is a constant map; the tails of all chunks run side by side. What comes before it (its head) needs the entry
+        state, and so does a chunk without white space (whole), which passes its end state on.
+
+        The map of a head or a whole chunk is made for the states that can enter: at first the one in which the chunk
+        before ends, for a whole one as if it had begun in S, then what its map has for its own entries. States forget
+        what is far behind, so this soon gives no new pairs; each round runs its pairs side by side. The maps are then
+        composed along each run of whole chunks by prefix doubling.
         """
         n = len(symbols)
         at = np.arange(CHUNK)
@@ -355,21 +359,36 @@ class Transducer:
         reset = white[symbols]
         begins = np.zeros(n, bool)
         begins[first] = True
-        head = np.where(begins, 0, np.where(reset.any(1), reset.argmax(1) + 1, CHUNK))
-        body = np.where(at < head[:, None], PAD, symbols)
+        whole = ~begins & ~reset.any(1)
+        head = np.where(begins, 0, np.where(whole, CHUNK, reset.argmax(1) + 1))
+        body = np.where((at < head[:, None]) & ~whole[:, None], PAD, symbols)
         ends, counts = self._run(np.ascontiguousarray(body.T), cps.T, np.zeros(n, np.int64))
-        known = head < CHUNK  # the end state is known without the entry state
-        todo = np.flatnonzero(head > 0)
-        while len(todo):
-            ready = todo[known[todo - 1]]
-            width = int(head[ready].max())
-            part = np.where(at[:width] < head[ready, None], symbols[ready, :width], PAD)
-            to, more = self._run(np.ascontiguousarray(part.T), cps[ready, :width].T, ends[ready - 1])
-            counts[ready] += more
-            whole = head[ready] == CHUNK
-            ends[ready[whole]] = to[whole]
-            known[ready] = True
-            todo = np.setdiff1d(todo, ready, assume_unique=True)
+        goes = whole & ~np.append(begins[1:], True)
+        key = lambda c, e: c.astype(np.int64) << 32 | e
+        keys, exits, sums = [key(np.flatnonzero(whole), 0)], [ends[whole]], [counts[whole]]
+        counts[whole] = 0
+        inner = np.flatnonzero(head > 0)
+        new = key(inner, ends[inner - 1])
+        while len(new := np.setdiff1d(new, np.concatenate(keys))):
+            chunk = new >> 32
+            width = int(head[chunk].max())
+            part = np.where(at[:width] < head[chunk, None], symbols[chunk, :width], PAD)
+            to, more = self._run(np.ascontiguousarray(part.T), cps[chunk, :width].T, new & 0xFFFFFFFF)
+            keys.append(new)
+            exits.append(to)
+            sums.append(more)
+            new = key(chunk[goes[chunk]] + 1, to[goes[chunk]])
+        if not len(inner):
+            return counts
+        keys, exits, sums = np.concatenate(keys), np.concatenate(exits), np.concatenate(sums)
+        order = np.argsort(keys)
+        chunk = keys >> 32
+        then = np.append(np.where(goes[chunk], order[np.minimum(np.searchsorted(keys, key(chunk + 1, exits), sorter=order), len(keys) - 1)], len(keys)), len(keys))
+        sums = np.append(sums, 0)
+        while (then < len(keys)).any():
+            sums, then = sums + sums[then], then[then]
+        start = inner[~whole[inner - 1]]  # heads and whole chunks of which the entry state is known
+        counts[start] += sums[order[np.searchsorted(keys, key(start, ends[start - 1]), sorter=order)]]
         return counts
 
     @staticmethod

@@ -131,6 +131,18 @@ def test_transducer_rare_characters():
     assert Transducer(path).count(given).tolist() == [len(e.ids) for e in tok.encode_batch(given, add_special_tokens=False)]
 
 
+def test_unspaced_texts_compose_chunk_maps():
+    """Runs of many chunks without white space, with and without ends of words inside, beside spaced ones."""
+    rng = random.Random(9)
+    path = P.path("word_bpe_49k.json")
+    tok, machine = tokenizers.Tokenizer.from_file(path), Transducer(path)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    given = [draw("abcdeéß", 5000), draw("abc'dt1!-", 9000), draw("日本語中文字", 7000), "a" * 3000, draw("ab ", 4000), draw("xyz", 192), draw("xyz", 193), draw("xyz", 383), draw("xyz", 384), "é" * 1000 + " " + draw("abc", 1000), "'" * 500, "don't" * 300]
+    want = [len(tok.encode(t, add_special_tokens=False).ids) for t in given]
+    assert machine.count(given).tolist() == want
+    assert [int(machine.count([t])[0]) for t in given] == want
+
+
 def test_token_counts(spark):
     rows = [(1, None), (2, ""), (3, "Hello é"), (None, "word " * 3000), (3, "Hello é")]
     got = sorted(tuple(r)[1:] for r in token_counts(docs(spark, rows), P.path("word_bpe_49k.json")).collect())
