@@ -18,8 +18,10 @@ import numpy as np
 
 #: Rows of a block.
 BLOCK = 1 << 17
-#: Fields of a row: preceding symbol (0: none, byte + 1), common prefix with the row before (at most 255), string and suffix length.
-FIELDS = {"symbol": "<u2", "common": "u1", "place": "<u8"}
+#: Fields of a row: preceding symbol (0: none, byte + 1), common prefix with the row before (at most LONGEST), string and suffix length.
+FIELDS = {"symbol": "<u2", "common": "<u2", "place": "<u8"}
+#: Common prefixes are held up to this length; searches for longer ones are refused.
+LONGEST = (1 << 16) - 1
 
 
 class _Rows:
@@ -83,7 +85,7 @@ def _ranks(rows: _Rows, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     n = len(places)
     rank, before, after = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
     seen = np.zeros(257, np.int64)
-    since = np.full(257, 255, np.int64)  # least common prefix since the last row with the symbol
+    since = np.full(257, LONGEST, np.int64)  # least common prefix since the last row with the symbol
     waiting = np.full(257, -1, np.int64)  # the wanted row, if the last row with the symbol is one
     at = 0
     for symbol, common in rows.blocks("symbol", "common"):
@@ -122,7 +124,7 @@ def _ranks(rows: _Rows, places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
         # carried on: per symbol the least common prefix after its last row
         tail = np.minimum.accumulate(common[::-1])  # from the end
         since = np.minimum(since, int(tail[-1]))
-        since[syms] = np.where(last + 1 < m, tail[np.maximum(m - 2 - last, 0)], 255)
+        since[syms] = np.where(last + 1 < m, tail[np.maximum(m - 2 - last, 0)], LONGEST)
         waiting[syms] = -1
         if hi > lo:
             waiting[s[final]] = np.arange(lo, hi)[final]
@@ -148,7 +150,7 @@ def build(strings: list[bytes], folder: str | None = None) -> Iterator[tuple[np.
         ends = np.cumsum(sizes)
         symbol = np.zeros(n, np.uint16)
         symbol[sizes > 0] = text[ends[sizes > 0] - 1]
-        old.put({"symbol": symbol, "common": np.zeros(n, np.uint8), "place": np.arange(n, dtype=np.uint64) << np.uint64(32)})
+        old.put({"symbol": symbol, "common": np.zeros(n, np.uint16), "place": np.arange(n, dtype=np.uint64) << np.uint64(32)})
         totals = np.bincount(symbol, minlength=257)
         active = np.flatnonzero(sizes > 0)
         places = active.copy()  # row of each active string's longest suffix so far, ascending
@@ -164,7 +166,7 @@ def build(strings: list[bytes], folder: str | None = None) -> Iterator[tuple[np.
             previous[more] = text[ends[active[more]] - r - 1]
             slot = to - np.arange(len(to))  # the old row that each comes before
             alone = np.append(slot[1:] != slot[:-1], True)
-            fill = {"symbol": previous, "common": np.minimum(before, 255).astype(np.uint8), "place": active.astype(np.uint64) << np.uint64(32) | np.uint64(r)}
+            fill = {"symbol": previous, "common": np.minimum(before, LONGEST).astype(np.uint16), "place": active.astype(np.uint64) << np.uint64(32) | np.uint64(r)}
             new.begin()
             at = done = 0
             for rows in old.blocks(*FIELDS):
@@ -172,7 +174,7 @@ def build(strings: list[bytes], folder: str | None = None) -> Iterator[tuple[np.
                 lo, hi = np.searchsorted(slot, (at, at + m))
                 follow = np.arange(lo, hi)[alone[lo:hi] & (after[lo:hi] > 0)]
                 rows[1] = rows[1].copy()
-                rows[1][slot[follow] - at] = np.minimum(after[follow], 255)
+                rows[1][slot[follow] - at] = np.minimum(after[follow], LONGEST)
                 into = slot[lo:hi] - at + np.arange(hi - lo)
                 stay = np.ones(m + hi - lo, bool)
                 stay[into] = False

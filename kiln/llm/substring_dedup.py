@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.bwt import build
+from kiln.llm.bwt import LONGEST, build
 from kiln.llm.common import materialize, slices, tidy
 
 LENGTH = 100
@@ -27,8 +27,11 @@ GRAM = 32
 BLOCK = 1 << 17
 #: The segments of an anchor with more different ones than this are dealt out stretch by stretch.
 HOT = 2000
-#: Segments of one collection, before what repeats is cut out of them; it is cut between anchors when it gets larger.
+#: Segments of one collection, before what repeats is cut out of them; it is cut between anchors when it gets larger, so it
+#: has at most HOT more.
 COLLECTION = 16_000
+#: Parts of a partition of segments that are sorted and settled one by one.
+PARTS = 8
 _BASE = 0x9E3779B97F4A7C15
 _MIX = 0xBF58476D1CE4E5B9
 
@@ -58,7 +61,7 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return [np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]), dtype=np.uint64) for x in (_BASE, pow(_BASE, -1, 2**64))]
 
 
-_powers = _power_tables(BLOCK + 1024)
+_powers = _power_tables(BLOCK + LONGEST)
 
 
 def segments(text: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tuple[int, int, int, int]]:
@@ -128,7 +131,8 @@ def _utf8(texts: list[str | None]) -> list[bytes]:
 def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int = GRAM) -> DataFrame:
     """(doc, tie, start, n): runs of stretches that also start earlier, of documents (doc_id, text)."""
     spark = docs.sparkSession
-    bins = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bins = PARTS * partitions
 
     def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,13 +146,12 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
                 where = (kept["key"] % np.uint64(bins)).astype(np.int64)
                 order = np.lexsort((kept["start"], kept["doc"], where))
                 kept, where = kept[order], where[order]
-                edge = np.searchsorted(where, np.arange(bins + 1))
+                edge = np.flatnonzero(np.append(np.append(True, where[1:] != where[:-1]), True))
                 out = {"bin": [], "kind": [], "blob": []}
-                for k in range(bins):
-                    if edge[k] < edge[k + 1]:
-                        out["bin"].append(k)
-                        out["kind"].append(0)
-                        out["blob"].append(_pack(kept[edge[k] : edge[k + 1]]))
+                for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                    out["bin"].append(int(where[x]))
+                    out["kind"].append(0)
+                    out["blob"].append(_pack(kept[x:y]))
                 if len(spans):
                     out["bin"].append(int(spans["doc"][0]) % bins)
                     out["kind"].append(1)
@@ -159,28 +162,34 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
     sent = docs.select("doc_id", "text").mapInArrow(tidy(found), "bin int, kind int, blob binary")
 
     def settled(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """kind 1: spans; 2: segments to compare; 3: segments of hot anchors to compare in parts."""
-        held = []
+        """kind 1: spans; 2: segments to compare; 3: segments of hot anchors to compare in parts. One bin is held at a time."""
+        now, held = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            reps, spans = _first_of_content(np.concatenate(held))
+            same = _same(reps, "key")
+            reps = reps[np.append(False, same) | np.append(same, False)]  # an anchor with several contents
+            if len(reps):
+                first = np.flatnonzero(np.append(True, ~_same(reps, "key")))
+                many = np.repeat(np.diff(np.append(first, len(reps))) > hot, np.diff(np.append(first, len(reps))))
+            for kind, x in ((1, spans), *(((2, reps[~many]), (3, reps[many])) if len(reps) else ())):
+                for i in range(0, len(x), 100_000):
+                    yield pa.RecordBatch.from_pydict({"bin": [0], "kind": [kind], "blob": [_pack(x[i : i + 100_000])]}, schema=blob_schema)
+
         for batch in batches:
-            for kind, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for bin_, kind, blob in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if kind:
                     yield pa.RecordBatch.from_pydict({"bin": [0], "kind": [1], "blob": [blob]}, schema=blob_schema)
-                else:
-                    held.append(_unpack(blob, SEGMENT))
-        if not held:
-            return
-        reps, spans = _first_of_content(np.concatenate(held))
-        same = _same(reps, "key")
-        shared = np.append(False, same) | np.append(same, False)  # an anchor with several contents
-        reps = reps[shared]
-        if len(reps):
-            first = np.flatnonzero(np.append(True, ~_same(reps, "key")))
-            many = np.repeat(np.diff(np.append(first, len(reps))) > hot, np.diff(np.append(first, len(reps))))
-        for kind, x in ((1, spans), *(((2, reps[~many]), (3, reps[many])) if len(reps) else ())):
-            for i in range(0, len(x), 100_000):
-                yield pa.RecordBatch.from_pydict({"bin": [0], "kind": [kind], "blob": [_pack(x[i : i + 100_000])]}, schema=blob_schema)
-
-    settled_ = materialize(sent.repartition(bins, "bin").mapInArrow(tidy(settled), "bin int, kind int, blob binary"), "segments")
+                    continue
+                if bin_ != now and held:
+                    yield from done()
+                    held = []
+                now = bin_
+                held.append(_unpack(blob, SEGMENT))
+        if held:
+            yield from done()
+
+    settled_ = materialize(sent.repartition(partitions, "bin").sortWithinPartitions("bin").mapInArrow(tidy(settled), "bin int, kind int, blob binary"), "segments")
 
     def as_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,24 +211,32 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
     texts = docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("doc"), "text")
     strings = texts.join(wanted, "doc").select("doc", "tie", "text", "list")
 
+    # Strings to compare; those of hot anchors are single stretches, dealt out by their content. What is known to be later
+    # already goes through the same shuffle without its bytes.
+    string_schema = pa.schema([("key", pa.int64()), ("hot", pa.bool_()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
+
     def cut(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("key", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("start", pa.int64()), ("body", pa.binary())])
         for batch in batches:
             x = batch.to_pydict()
+            best: dict[bytes, tuple] = {}  # of the single stretches of this batch, the earliest of each content
+            rows = []
             for doc, tie, text, list_ in zip(x["doc"], x["tie"], _utf8(x["text"]), x["list"], strict=True):
                 if xxhash.xxh32_intdigest(text) != tie:
                     continue
-                out = {k: [] for k in schema.names}
                 for r in list_:
-                    parts = [(r["key"], r["start"], r["n"])]
-                    if r["hot"]:  # each stretch by itself, dealt out by its content
-                        parts = [(int.from_bytes(hashlib.blake2b(text[s : s + length], digest_size=8).digest(), "little", signed=True), s, 1) for s in range(r["start"], r["start"] + r["n"])]
-                    for key, s, n in parts:
-                        for c, v in zip(out.values(), (key, doc, tie, s, text[s : s + n - 1 + length]), strict=True):
-                            c.append(v)
-                yield pa.RecordBatch.from_pydict(out, schema=schema)
-
-    cutted = strings.mapInArrow(tidy(cut), "key long, doc long, tie long, start long, body binary")
+                    if not r["hot"]:
+                        rows.append((r["key"], False, doc, tie, r["start"], r["n"], text[r["start"] : r["start"] + r["n"] - 1 + length]))
+                        continue
+                    for s in range(r["start"], r["start"] + r["n"]):
+                        place = (doc, tie, s)
+                        before = best.setdefault(text[s : s + length], place)
+                        if before != place:
+                            best[text[s : s + length]] = min(before, place)
+                            rows.append((doc, True, *max(before, place), 1, None))
+            rows += ((int.from_bytes(hashlib.blake2b(body, digest_size=8).digest(), "little", signed=True), True, *place, 1, body) for body, place in best.items())
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 7, string_schema, strict=True)], schema=string_schema)
+
+    cutted = strings.mapInArrow(tidy(cut), "key long, hot boolean, doc long, tie long, start long, n long, body binary")
 
     def compared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs_, bodies = [], [], []
@@ -240,18 +257,37 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
             if len(best) > 1:
                 yield _later(list(best), np.array(list(best.values()), np.dtype([("doc", "<i8"), ("tie", "<i8"), ("start", "<i8")])), length)
 
+        def spans_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*rows, strict=True) if rows else [[]] * 4)], names=["doc", "tie", "start", "n"])
+
+        same: dict[bytes, tuple] = {}  # of one key of single stretches, the earliest of each content (one, but for equal hashes)
+        last = None
         for batch in batches:
-            for key, doc, tie, start, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            gone = []
+            for key, hot_, doc, tie, start, n, body in zip(*(batch.column(i).to_pylist() for i in range(7)), strict=True):
+                if hot_:
+                    if body is None:
+                        gone.append((doc, tie, start, n))
+                        continue
+                    if key != last:
+                        last, same = key, {}
+                    place = (doc, tie, start)
+                    before = same.setdefault(body, place)
+                    if before != place:  # else a repeated row
+                        same[body] = min(before, place)
+                        gone.append((*max(before, place), 1))
+                    continue
                 if keys and key != keys[-1] and len(keys) >= COLLECTION:
                     yield from done()
                     keys, docs_, bodies = [], [], []
                 keys.append(key)
                 docs_.append((doc, tie, start))
                 bodies.append(body)
+            yield spans_of(gone)
         if keys:
             yield from done()
 
-    more = cutted.repartition(bins, "key").sortWithinPartitions("key").mapInArrow(tidy(compared), "doc long, tie long, start long, n long")
+    more = cutted.repartition(partitions, "hot", "key").sortWithinPartitions("hot", "key").mapInArrow(tidy(compared), "doc long, tie long, start long, n long")
     return spans.unionByName(more)
 
 
@@ -315,6 +351,8 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
     repeat both id and text are one document (both are treated alike); of rows with one id and different texts, the
     hash of the text decides; null ids come last. An empty table gives an empty result. Other columns are not read.
     """
+    if not 8 <= length <= LONGEST:
+        raise ValueError(f"length must be 8 to {LONGEST}")
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     gram = max(8, min(GRAM, length // 3))
     spans = repeated(source, length, hot, gram).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))

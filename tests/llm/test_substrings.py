@@ -22,7 +22,7 @@ def check_transform(strings):
         assert strings[i][len(strings[i]) - n :] == suffix
         if last is not None:
             k = next((k for k, (a, b) in enumerate(zip(last, suffix, strict=False)) if a != b), min(len(last), len(suffix)))
-            assert common == min(k, 255)
+            assert common == k
         last = suffix
 
 
@@ -33,6 +33,7 @@ def test_transform_against_sorting(monkeypatch, block):
     for _ in range(15):
         check_transform([bytes(rng.choice(b"ab\xff\x00") for _ in range(rng.randint(0, 12))) for _ in range(rng.randint(1, 12))])
     check_transform([b"aaaaaaaaaa"] * 5)
+    check_transform([b"ab" * 160, b"ab" * 160, b"b" * 300])  # prefixes beyond a byte
     assert list(bwt.build([])) == []
 
 
@@ -61,7 +62,7 @@ def corpus(seed, n=36):
     return rows + [(500, None), (501, ""), (502, "x" * 1000), (503, "ab" * 400), (504, "y" * 99), (505, "y" * 100), (506, "y" * 101), (507, rows[3][1]), (508, rows[3][1]), (None, rows[5][1] + "tail" * 40)]
 
 
-@pytest.mark.parametrize(("length", "hot", "block"), [(100, 2000, 1 << 17), (100, 2, 1 << 17), (100, 2000, 300), (40, 3, 128)])
+@pytest.mark.parametrize(("length", "hot", "block"), [(100, 2000, 1 << 17), (100, 2, 1 << 17), (100, 2000, 300), (40, 3, 128), (256, 2000, 1 << 17), (300, 2, 1 << 17)])
 def test_substring_dedup_against_brute_force(spark, monkeypatch, length, hot, block):
     monkeypatch.setattr(sub, "BLOCK", block)
     monkeypatch.setattr(sub, "COLLECTION", 400)
@@ -78,3 +79,21 @@ def test_substring_dedup_repeated_rows_and_empty(spark):
     removed = sorted((r.doc_id, r.n_removed) for r in got)
     assert removed[0] == removed[1] and removed[2] == (2, 150)
     assert sub.substring_dedup(docs(spark, [])).count() == 0
+
+
+def test_hot_stretch_in_many_contents(spark):
+    """A line that stands in many documents, between other words each time, with collections cut inside and between keys."""
+    rng = random.Random(6)
+    line = "".join(rng.choice("abcdefghij ") for _ in range(140))
+    other = lambda n: "".join(rng.choice("klmnopqrst ") for _ in range(n))
+    rows = [(i, other(rng.randint(0, 120)) + line + other(rng.randint(0, 120))) for i in range(600)]
+    want = brute(rows, 100)
+    for hot in (2000, 20):
+        got = sub.substring_dedup(docs(spark, rows).repartition(5), hot=hot).collect()
+        assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+
+
+def test_lengths_out_of_bounds(spark):
+    for length in (7, 1 << 16):
+        with pytest.raises(ValueError, match="length"):
+            sub.substring_dedup(docs(spark, []), length=length)
