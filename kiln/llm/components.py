@@ -11,7 +11,8 @@ from kiln.llm.common import materialize
 def _stars(edges: DataFrame, large: bool) -> DataFrame:
     """One round. large: each node's larger neighbours get its smallest one; small: its smaller neighbours and itself do."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    # written, so that both sides of the join are plain shuffles, of which a hub's rows can be split over several tasks
+    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
     joined = both.join(least, "u")
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -24,7 +25,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root) of every node that has an edge; root is the smallest node that it is connected with.
 
     edges: u, v, of one type that has an order; nulls and loops are left out. Each round is written to the shared
-    folder; no links are collected. A node with many neighbours is a hot key of a join, which Spark can split.
+    folder; no links are collected. A node with many neighbours is a hot key of a join
+    of two plain shuffles, which Spark splits.
     """
     now = materialize(edges.where("u is not null and v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     mark = None

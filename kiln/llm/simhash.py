@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from kiln.llm.common import mapped, materialize, tidy
 from kiln.llm.components import components
+from kiln.llm.shingles import shingles, word_hashes
 
 SHINGLE = 3
 MAX_BITS = 2
@@ -44,6 +45,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in more than half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for i in range(0, len(hashes), BATCH):
+        counts += np.unpackbits(hashes[i : i + BATCH].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp long): the fingerprint as a signed number."""
 
@@ -315,8 +324,9 @@ def band_keys(shingles: np.ndarray, bands: int = COPY_BANDS, rows: int = COPY_RO
 
 
 def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
-    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))] if words else [], np.uint64))
+    """The set of shingles, sorted; a text with fewer words is one shingle, one without words none."""
+    h = shingles(text, shingle)
+    return np.unique(h if len(h) else shingles(text, max(1, len(word_hashes(text)))))
 
 
 def set_links(sets: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, across: bool, similarity: float) -> Iterator[tuple[int, int]]:
@@ -344,9 +354,19 @@ def set_links(sets: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, acro
                 yield i, j
 
 
-def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: int, block: int) -> DataFrame:
+def probed_pairs(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
+    """(u, v) marks of texts, of (mark, fp), whose fingerprints are the same or within `most` bits: of each fingerprint the
+    first text with every other, and the first texts of fingerprints that the pigeonhole links."""
+    nodes = materialize(prints.groupBy("fp").agg(F.min("mark").alias("first")), "prints")
+    same = prints.join(nodes, "fp").where("mark <> first").select(F.col("first").alias("u"), F.col("mark").alias("v"))
+    links = near_links(nodes, most)
+    near = links.join(nodes.select(F.col("fp").alias("u"), F.col("first").alias("a")), "u").join(nodes.select(F.col("fp").alias("v"), F.col("first").alias("b")), "v")
+    return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
+
+
+def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: int, block: int, probed: DataFrame | None = None) -> DataFrame:
     """(u, v) marks: links that connect all texts (doc_id, text, mark) that share a key of keyed (key, mark) and whose
-    Jaccard similarity reaches the bound.
+    Jaccard similarity reaches the bound. Pairs of probed (u, v) are verified, too.
 
     Each bucket's texts are first compared with its least mark. Where that leaves a bucket in several components, all
     its pairs of different components are compared: the texts outside its largest component with each other and with
@@ -360,9 +380,13 @@ def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: in
     def sets(batch: pa.RecordBatch):
         yield {"mark": batch.column(0), "set": [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]}
 
-    texts = docs.select("mark", "text").join(shared.select("mark").distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+    pairs = shared.where("first <> mark").select(F.col("first").alias("u"), F.col("mark").alias("v"))
+    if probed is not None:
+        pairs = pairs.unionByName(probed)
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
+    wanted = shared.select("mark").unionByName(pairs.select(F.col("u").alias("mark"))).unionByName(pairs.select(F.col("v").alias("mark"))).distinct()
+    texts = docs.select("mark", "text").join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
     found = materialize(mapped(texts, sets, "mark long, set binary"), "sets")
-    pairs = shared.where("first <> mark").select(F.col("first").alias("u"), F.col("mark").alias("v")).distinct()
     both = pairs.join(found.select(F.col("mark").alias("u"), F.col("set").alias("a")), "u").join(found.select(F.col("mark").alias("v"), F.col("set").alias("b")), "v")
 
     def verified(batch: pa.RecordBatch):
@@ -415,23 +439,27 @@ def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: in
 def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE, bands: int = COPY_BANDS, rows: int = COPY_ROWS, block: int = COPY_BLOCK) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, mark (hash of the text), keep_id, the smallest id of its group.
 
-    Candidates: texts that agree in all min-hashes of one of the bands, over their word shingles. They are linked if the
-    Jaccard similarity of the shingles, computed over the whole texts, reaches the bound; groups are the connected
-    components. Texts without words are in no group, texts shorter than a shingle are one shingle. Null ids are never
-    the one that stays unless all are.
+    Candidates: texts whose SimHash fingerprints over the word shingles are within two bits, found by the generalised
+    pigeonhole; and, as a similarity of 0.8 allows for ten differing bits and more, which no pigeonhole can probe, texts that
+    agree in all min-hashes of one of the bands over the same shingles. They are linked if the Jaccard similarity of the
+    shingles, computed over the whole texts, reaches the bound; groups are the connected components. Texts without words
+    are in no group, texts shorter than a shingle are one shingle; null text is empty. Rows that repeat an id and a text,
+    and different ids with equal texts, share a group. Null ids are never the one that stays unless all are. An empty
+    table gives an empty result; other columns are not read.
     """
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def made(batch: pa.RecordBatch):
-        keys = [band_keys(shingle_set(t, shingle), bands, rows) for t in batch.column(2).to_pylist()]
-        yield {"doc_id": batch.column(0), "mark": batch.column(1), "keys": keys}
+        sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
+        yield {"doc_id": batch.column(0), "mark": batch.column(1), "fp": np.array([majority(x) for x in sets], np.uint64).view(np.int64), "keys": [band_keys(x, bands, rows) for x in sets]}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", mark.alias("mark"), F.col("text").cast("string").alias("text"))
-    slim = materialize(mapped(texts, made, f"doc_id {kind}, mark long, keys array<bigint>"), "bands")
+    slim = materialize(mapped(texts, made, f"doc_id {kind}, mark long, fp long, keys array<bigint>"), "bands")
     # Equal texts are one node; the mark stands for the text.
-    nodes = slim.where(F.size("keys") > 0).groupBy("mark").agg(F.first("keys").alias("keys"))
-    roots = components(copy_links(texts, nodes.select("mark", F.explode("keys").alias("key")), similarity, shingle, block))
+    nodes = slim.where(F.size("keys") > 0).groupBy("mark").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
+    links = copy_links(texts, nodes.select("mark", F.explode("keys").alias("key")), similarity, shingle, block, probed_pairs(nodes.select("mark", "fp")))
+    roots = components(links)
     labels = slim.select("doc_id", "mark", (F.size("keys") > 0).alias("worded")).join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     keep = labels.where("worded").groupBy("root").agg(F.min("doc_id").alias("keep_id"))
     return labels.join(keep, "root", "left").select("doc_id", "mark", F.when(F.col("worded"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"))
