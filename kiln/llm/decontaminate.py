@@ -16,6 +16,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The set is sent to every task up to this many distinct windows (about 20 MB); beyond that windows are joined by shuffle.
 SET_WINDOWS = 100_000
+#: Beyond that their hashes (8 bytes each) are broadcast up to this many, else shuffled; texts are compared where hashes agree.
+BROADCAST_WINDOWS = 1_000_000
 
 
 def lowered(col: Column) -> Column:
@@ -47,7 +49,23 @@ def _positions_in_set(docs: DataFrame, wins: list, lengths: list[int]) -> DataFr
     return out.withColumn("hits", F.concat(*(F.expr(f"transform(at{n}, p -> named_struct('p', p, 'len', {n}, 'win', array_join(slice(w, p, {n}), ' ')))") for n in lengths)))
 
 
-def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, set_windows: int = SET_WINDOWS) -> DataFrame:
+def _hits_by_join(base: DataFrame, distinct: DataFrame, lengths: list[int], broadcast_windows: int) -> DataFrame:
+    """base (rid, w, hw, ...) with hits, for large sets: first the hashes of all windows against those of the set, without
+    texts; then, only where they agree, the texts. base must be a written table, as it is read twice."""
+    few = lambda df: F.broadcast(df) if df.limit(broadcast_windows + 1).count() <= broadcast_windows else df
+    near = None
+    for n in lengths:
+        one = base.select("rid", F.posexplode(F.expr(f"if(size(hw) >= {n}, transform(sequence(1, greatest(size(hw) - {n - 1}, 1)), i -> xxhash64(slice(hw, i, {n}))), array())")).alias("at", "h"))
+        one = one.join(few(distinct.where(F.col("len") == n).select("h").distinct()), "h", "left_semi").select("rid", (F.col("at") + 1).alias("p"), F.lit(n).alias("len"))
+        near = one if near is None else near.unionByName(one)
+    near = near.groupBy("rid").agg(F.collect_list(F.struct("p", "len")).alias("near"))
+    texts = base.select("rid", "w").join(near, "rid").select("rid", F.explode(F.expr("transform(near, x -> named_struct('p', x.p, 'len', x.len, 'win', array_join(slice(w, x.p, x.len), ' ')))")).alias("x")).select("rid", "x.*")
+    sure = texts.join(few(distinct.select("len", "win").distinct()), ["len", "win"], "left_semi")
+    hits = sure.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("p", "len", "win"))).alias("hits"))
+    return base.join(hits, "rid", "left").withColumn("hits", F.coalesce("hits", F.expr("array()")))
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", window: int = WINDOW, set_windows: int = SET_WINDOWS, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """(rid, doc_id, n_words, hits, items): hits are the verified windows of each document, items the items they are of."""
     wins = materialize(benchmark_windows(benchmark, item_col, "text", window), "windows")
     distinct = wins.select("len", "win", "h").distinct()
@@ -61,13 +79,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", tex
     elif len(held) <= set_windows:
         found = _positions_in_set(base, held, lengths).select("rid", "doc_id", "n_words", F.col("hits").cast(kind).alias("hits"))
     else:
-        each = None
-        for n in lengths:
-            one = base.select("rid", F.lit(n).alias("len"), F.posexplode(F.expr(f"if(size(hw) >= {n}, transform(sequence(1, greatest(size(hw) - {n - 1}, 1)), i -> named_struct('h', xxhash64(slice(hw, i, {n})), 'win', array_join(slice(w, i, {n}), ' '))), array())")).alias("at", "x"))
-            each = one if each is None else each.unionByName(one)
-        each = each.select("rid", "len", (F.col("at") + 1).alias("p"), "x.h", "x.win").join(distinct, ["len", "h", "win"], "left_semi")
-        got = each.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("p", "len", "win"))).alias("hits"))
-        found = base.select("rid", "doc_id", "n_words").join(got, "rid", "left").select("rid", "doc_id", "n_words", F.coalesce(F.col("hits"), F.expr("array()")).cast(kind).alias("hits"))
+        found = _hits_by_join(materialize(base, "words"), distinct, lengths, broadcast_windows).select("rid", "doc_id", "n_words", F.col("hits").cast(kind).alias("hits"))
     found = materialize(found, "hits")
     pairs = found.where("size(hits) > 0").select("rid", F.explode(F.expr("array_distinct(transform(hits, x -> x.win))")).alias("win"))
     of = wins.select("win", "item_id").distinct()
@@ -90,11 +102,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """(doc_id, text, n_hit): the texts without the hit words; what stands between words stays."""
-    found = find_hits(docs, benchmark, id_col=id_col, text_col=text_col, **options)
-    cut = found.select(F.col("rid"), F.expr("array_distinct(flatten(transform(hits, x -> sequence(x.p, x.p + x.len - 1))))").alias("cut"))
-    base = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    base = base.join(cut, "rid")
-    parts = base.select("doc_id", "text", "cut", F.split("text", WORD_ANY_CASE).alias("gaps"), F.regexp_extract_all("text", F.lit(WORD_ANY_CASE), F.lit(0)).alias("own"))
+    """(doc_id, text, n_hit): the texts without the hit words; what stands between words stays.
+
+    The text is carried along with the id, so rows that repeat, and null ids, are judged one by one. Null text is empty.
+    """
+    carried = docs.select(F.struct(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text")).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    found = find_hits(carried, benchmark, **options).select("doc_id.doc_id", "doc_id.text", F.expr("array_distinct(flatten(transform(hits, x -> sequence(x.p, x.p + x.len - 1))))").alias("cut"))
+    parts = found.select("doc_id", "text", "cut", F.split("text", WORD_ANY_CASE).alias("gaps"), F.regexp_extract_all("text", F.lit(WORD_ANY_CASE), F.lit(0)).alias("own"))
     clean = F.expr("concat(gaps[0], array_join(transform(own, (x, i) -> concat(if(array_contains(cut, i + 1), '', x), gaps[i + 1])), ''))")
     return parts.select("doc_id", F.when(F.size("cut") > 0, clean).otherwise(F.col("text")).alias("text"), F.size("cut").cast("long").alias("n_hit"))

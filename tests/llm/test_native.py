@@ -79,14 +79,14 @@ def brute_contamination(rows, items):
     return out
 
 
-@pytest.mark.parametrize("set_windows", [100_000, 1])
-def test_contamination(spark, set_windows):
+@pytest.mark.parametrize("options", [{}, {"set_windows": 1}, {"set_windows": 1, "broadcast_windows": 1}])
+def test_contamination(spark, options):
     rng = random.Random(5)
     vocab = ["The", "cat's", "Été", "ñ", "42", "x", "of", "and", "quite", "long"]
     item = [" ".join(rng.choice(vocab) for _ in range(n)) for n in (30, 14, 13, 5, 1)]
     items = [(10, item[0]), (9, item[1]), (2, item[2]), (3, item[3] + " rareword"), (4, None), (5, "..."), (None, item[2])]
-    rows = [(1, None), (2, ""), (3, item[0]), (4, "pad " * 300 + item[0].upper().replace("É", "é")), (5, "a " * 20 + item[0][: len(item[0]) // 2]), (6, item[1] + ". " + item[2] + "\n" + item[0]), (7, " ".join(rng.choice(vocab) for _ in range(400))), (8, item[3] + ", RareWord!"), (9, "pad " * 5000)]
-    got = {r.doc_id: tuple(r)[1:6] for r in contamination(docs(spark, rows), spark.createDataFrame([(i, t, "x", 1) for i, t in items], BENCH), set_windows=set_windows).collect()}
+    rows = [(1, None), (2, ""), (3, item[0]), (4, "pad " * 300 + item[0].upper().replace("É", "é")), (5, "a " * 20 + item[0][: len(item[0]) // 2]), (6, item[1] + ". " + item[2] + "\n" + item[0]), (7, " ".join(rng.choice(vocab) for _ in range(400))), (8, item[3] + ", RareWord!"), (9, "pad " * 5000), (10, "pad " * 60_000 + item[0] + " end" * 50_000)]
+    got = {r.doc_id: tuple(r)[1:6] for r in contamination(docs(spark, rows), spark.createDataFrame([(i, t, "x", 1) for i, t in items], BENCH), **options).collect()}
     assert got == brute_contamination(rows, items)
 
 
@@ -100,6 +100,8 @@ def test_remove_spans(spark):
     bench = spark.createDataFrame([(1, "one two three", "", 0)], BENCH)
     got = {r.doc_id: (r.text, r.n_hit) for r in remove_spans(docs(spark, [(1, "Zero, One two; three! four"), (2, None), (3, "plain")]), bench).collect()}
     assert got == {1: ("Zero,  ; ! four", 3), 2: ("", 0), 3: ("plain", 0)}
+    rows = docs(spark, [(1, "one two three"), (1, "one two three x"), (None, "y one two three"), (None, None)]).repartition(3)
+    assert sorted((r.text, r.n_hit) for r in remove_spans(rows, bench, set_windows=0).collect()) == [("", 0), ("  ", 3), ("   x", 3), ("y   ", 3)]
 
 
 def test_secrets_against_brute_force(spark):
