@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many characters, so that memory does not follow the batch size.
 SLICE_CHARS = 2_000_000
+BATCH_ROWS = 1000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -95,8 +96,9 @@ def tidy(run):
     return wrapped
 
 
-def mapped(df: DataFrame, function, schema: str) -> DataFrame:
-    """mapInArrow over RecordBatches; function(batch) yields dicts of columns or RecordBatches."""
+def mapped(df: DataFrame, function, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
+    """mapInArrow over RecordBatches of at most `rows` rows, so that little of a batch is held as Python objects;
+    function(batch) yields dicts of columns."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
@@ -104,8 +106,8 @@ def mapped(df: DataFrame, function, schema: str) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                for made in function(batch):
+            for at in range(0, batch.num_rows, rows):
+                for made in function(batch.slice(at, rows)):
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if not isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else made[f.name].cast(f.type) for f in out], schema=out)
 
     return df.mapInArrow(tidy(run), schema)

@@ -90,7 +90,7 @@ def prototypes(docs: DataFrame, dim: int = DIM) -> tuple[list[str], np.ndarray]:
                 sums[lang] = sums.get(lang, 0) + np.rint(vectors[mine].sum(0, dtype="f8")).astype("i8")
         yield {"lang": list(sums), "v": [v.tolist() for v in sums.values()]}
 
-    parts = mapped(docs.select("lang", "text"), summed, "lang string, v array<bigint>")
+    parts = mapped(docs.select("lang", "text"), summed, "lang string, v array<bigint>", 1 << 20)
     rows = parts.select("lang", F.posexplode("v").alias("k", "x")).groupBy("lang", "k").agg(F.sum("x").alias("x"))
     if (n := rows.select("lang").distinct().count()) > MAX_LANGUAGES:
         raise ValueError(f"{n} languages; at most {MAX_LANGUAGES}")

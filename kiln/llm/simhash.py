@@ -73,7 +73,7 @@ def bit_statistics(nodes: DataFrame) -> tuple[int, np.ndarray, np.ndarray]:
         yield {"k": np.arange(4097), "x": np.append(co.ravel(), len(x)).astype(np.int64)}
 
     sums = np.zeros(4097)
-    for r in mapped(nodes.select("fp"), summed, "k long, x long").groupBy("k").agg(F.sum("x").alias("x")).collect():
+    for r in mapped(nodes.select("fp"), summed, "k long, x long", 1 << 20).groupBy("k").agg(F.sum("x").alias("x")).collect():
         sums[r["k"]] = r["x"]
     n = int(sums[4096])
     co = sums[:4096].reshape(64, 64) / max(n, 1)
@@ -450,8 +450,12 @@ def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: i
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def made(batch: pa.RecordBatch):
-        sets = [shingle_set(t, shingle) for t in batch.column(2).to_pylist()]
-        yield {"doc_id": batch.column(0), "mark": batch.column(1), "fp": np.array([majority(x) for x in sets], np.uint64).view(np.int64), "keys": [band_keys(x, bands, rows) for x in sets]}
+        fp, keys = np.zeros(batch.num_rows, np.uint64), []
+        for i in range(batch.num_rows):  # one set at a time
+            x = shingle_set(batch.column(2)[i].as_py(), shingle)
+            fp[i] = majority(x)
+            keys.append(band_keys(x, bands, rows))
+        yield {"doc_id": batch.column(0), "mark": batch.column(1), "fp": fp.view(np.int64), "keys": keys}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", mark.alias("mark"), F.col("text").cast("string").alias("text"))
