@@ -6,6 +6,7 @@ import atexit
 import ctypes
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -13,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Texts are worked on in slices of about this many characters, so that memory does not follow the batch size.
+#: Texts are worked on in slices of about this many characters, so that memory does not follow the batch size; rows of a batch.
 SLICE_CHARS = 2_000_000
-BATCH_ROWS = 1000
+BATCH_ROWS = 2000
 
 _made: list[tuple[SparkSession, str]] = []
 
@@ -79,23 +80,52 @@ def slices(texts: list[str | None], limit: int = SLICE_CHARS, rows: int = 512) -
         yield start, len(texts)
 
 
+def _give_back() -> None:
+    """Freed memory goes back to the system: a worker stays for later tasks, of this operator or another."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # no glibc
+        pass
+
+
 def tidy(run):
-    """run, for mapInArrow; at its end the worker gives freed memory back, as it stays for later tasks."""
+    """run, for mapInArrow; every few seconds and at its end the worker gives freed memory back."""
 
     def wrapped(batches):
+        last = time.monotonic()
         try:
-            yield from run(batches)
+            for out in run(batches):
+                yield out
+                if time.monotonic() - last > 2:
+                    _give_back()
+                    last = time.monotonic()
         finally:
             gc.collect()
-            pa.default_memory_pool().release_unused()
-            try:
-                ctypes.CDLL(None).malloc_trim(0)
-            except (OSError, AttributeError):  # no glibc
-                pass
+            _give_back()
 
     return wrapped
 
 
+_held: dict = {}
+
+
+def held(key: tuple, make):
+    """What a worker keeps between tasks, by key; only one thing at a time, so that operators' tables don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; where the session has Spark's own setting of Arrow batches (10,000 rows), sets BATCH_ROWS, as whole texts are in them."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(key) == "10000":
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 def mapped(df: DataFrame, function, schema: str, rows: int = BATCH_ROWS) -> DataFrame:
     """mapInArrow over RecordBatches of at most `rows` rows, so that little of a batch is held as Python objects;
     function(batch) yields dicts of columns."""
@@ -110,4 +140,4 @@ def mapped(df: DataFrame, function, schema: str, rows: int = BATCH_ROWS) -> Data
                 for made in function(batch.slice(at, rows)):
                     yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) if not isinstance(made[f.name], (pa.Array, pa.ChunkedArray)) else made[f.name].cast(f.type) for f in out], schema=out)
 
-    return df.mapInArrow(tidy(run), schema)
+    return small_batches(df).mapInArrow(tidy(run), schema)

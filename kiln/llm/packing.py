@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import slices, tidy
+from kiln.llm.common import held, slices, small_batches, tidy
 
 SEQUENCE = 2048
 END_ID = 1
@@ -110,7 +110,7 @@ class PieceCoder:
         self.keys = np.zeros(1 << SLOTS_BITS, np.uint64)
         self.entry = np.full(1 << SLOTS_BITS, -1, np.int32)
         self.n, self.chars, self.ids = 0, np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
-        self.char_at, self.id_at = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.char_at, self.id_at = np.zeros(1 << 14, np.int32), np.zeros(1 << 14, np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         at = (h * np.uint64(_GOLD)) >> np.uint64(64 - SLOTS_BITS)
@@ -165,7 +165,7 @@ class PieceCoder:
         return np.concatenate(out) if out else np.zeros(0, np.uint32), counts
 
     def _run(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if self.n > (1 << SLOTS_BITS) * 3 // 5:
+        if self.n > (1 << SLOTS_BITS) // 2:
             self.clear()
         joined = "".join(texts)
         cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
@@ -304,13 +304,8 @@ def step_groups(sequences: list[list[tuple[int, int, int]]], step: int = STEP) -
     return out
 
 
-_coders: dict[str, PieceCoder] = {}
-
-
 def coder(path: str) -> PieceCoder:
-    if path not in _coders:
-        _coders[path] = PieceCoder(path)
-    return _coders[path]
+    return held(("pack", path), lambda: PieceCoder(path))
 
 
 def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", block_tokens: int = BLOCK_TOKENS, with_ids: bool = False) -> DataFrame:
@@ -370,4 +365,4 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, end_id: int = EN
         if names:
             yield flush()
 
-    return docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(tidy(run), schema)
+    return small_batches(docs.select(F.col(id_col), F.col(text_col).cast("string"))).mapInArrow(tidy(run), schema)

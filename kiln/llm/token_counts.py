@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import mapped, slices
+from kiln.llm.common import held, mapped, slices
 
 CHUNK = 192
 #: Columns of the table: most frequent characters get one each as they come; all others share the last, and are stepped one by one.
@@ -400,13 +400,8 @@ class Transducer:
         return "".join(c.lower() for c in text) if "Σ" in text else text.lower()
 
 
-_compiled: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
-    if path not in _compiled:
-        _compiled[path] = Transducer(path)
-    return _compiled[path]
+    return held(("count", path), lambda: Transducer(path))
 
 
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

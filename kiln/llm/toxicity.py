@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import held_out, mapped, tidy
+from kiln.llm.common import held, held_out, mapped, small_batches, tidy
 
 #: Documented bounds of the samples that the classifier is fitted on; scoring reads every document.
 MAX_POSITIVE, MAX_UNLABELLED = 3000, 9000
@@ -178,13 +179,14 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, ma
         x = batch.to_pydict()
         yield {"doc_id": x["doc_id"], "p": x["p"], "u": x["u"], "f": [features(t).tobytes() for t in x["text"]]}
 
-    got = sorted(mapped(sample, found, "doc_id long, p int, u int, f binary").collect())
+    got = sorted(mapped(sample, found, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, p int, u int, f binary").collect())
     rows = [np.frombuffer(bytes(r["f"]), "<u4") for r in got]
     return fit_calibrated(rows, np.array([r["p"] == 1 for r in got], bool), np.array([r["u"] == 0 for r in got], bool), prior)
 
 
-def scores(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndarray:
-    memo = _memo(id(weights))
+def scores(texts: list[str | None], weights: np.ndarray, bias: float, model: str) -> np.ndarray:
+    """model: a name of these weights, under which a worker remembers the weights of words."""
+    memo = held(("toxicity", model), dict)
     total, n = np.zeros(len(texts)), np.zeros(len(texts))
     for i, text in enumerate(texts):
         if len(memo) > MEMO:
@@ -204,27 +206,17 @@ def scores(texts: list[str | None], weights: np.ndarray, bias: float) -> np.ndar
 def score(docs: DataFrame, model: Linear, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs."""
     weights = docs.sparkSession.sparkContext.broadcast(model.weights)  # 1 MB whatever the input
-    bias = model.bias
+    bias, name = model.bias, uuid.uuid4().hex
 
     def scored(batch: pa.RecordBatch):
         x = batch.to_pydict()
-        p = scores(x["text"], weights.value, bias)
+        p = scores(x["text"], weights.value, bias, name)
         yield {"doc_id": x["doc_id"], "held_out": x["held_out"], "score": p, "predicted": (p >= threshold).astype("i4")}
 
     source = docs.select("doc_id", held_out().alias("held_out"), "text")
     return mapped(source, scored, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")
 
 
-_memos: dict[int, dict] = {}
-
-
-def _memo(key: int) -> dict:
-    if key not in _memos:
-        _memos.clear()
-        _memos[key] = {}
-    return _memos[key]
-
-
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score (0 to 1), predicted (1 from the threshold on).
 
@@ -238,12 +230,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bound
 def reject_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **bounds) -> DataFrame:
     """The rows of docs that score below the threshold, with all their columns; nothing is shuffled."""
     model = fit(docs, labels, **bounds)
-    weights, bias = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias
+    weights, bias, name = docs.sparkSession.sparkContext.broadcast(model.weights), model.bias, uuid.uuid4().hex
     at = docs.columns.index("text")
 
     def kept(batches):
         for batch in batches:
-            p = scores(batch.column(at).to_pylist(), weights.value, bias)
+            p = scores(batch.column(at).to_pylist(), weights.value, bias, name)
             yield batch.filter(pa.array(p < threshold))
 
-    return docs.mapInArrow(tidy(kept), docs.schema)
+    return small_batches(docs).mapInArrow(tidy(kept), docs.schema)
