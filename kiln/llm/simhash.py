@@ -329,6 +329,12 @@ def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
     return np.unique(h if len(h) else shingles(text, max(1, len(word_hashes(text)))))
 
 
+def short(shingles: np.ndarray) -> bytes:
+    """A set of shingles as it is moved to be compared: the upper halves of the hashes. Of two sets of n shingles, n * n / 2**32
+    unlike ones fall together, so the similarity is off by less than 1e-5 up to 20,000 words."""
+    return np.unique((shingles >> np.uint64(32)).astype("<u4")).tobytes()
+
+
 def set_links(sets: list[np.ndarray], roots: np.ndarray, sides: np.ndarray, across: bool, similarity: float) -> Iterator[tuple[int, int]]:
     """Index pairs that connect, beyond the components in roots, all sets whose Jaccard similarity reaches the bound; with
     across, of different sides only. Every pair of different components is computed, so none is left to chance."""
@@ -374,11 +380,12 @@ def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: in
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("mark").alias("first"), F.bit_xor("mark").alias("s"), F.bit_xor(F.xxhash64("mark")).alias("t")).where("n > 1")
-    sizes = sizes.groupBy("n", "first", "s", "t").agg(F.min("key").alias("key")).select("key", "n", "first")
+    # Written, as parts below, so that the joins with them are plain shuffles, of which a hot key's rows can be split.
+    sizes = materialize(sizes.groupBy("n", "first", "s", "t").agg(F.min("key").alias("key")).select("key", "n", "first"), "bucket-sizes")
     shared = materialize(keyed.join(sizes, "key").select("key", "n", "first", "mark"), "buckets")
 
     def sets(batch: pa.RecordBatch):
-        yield {"mark": batch.column(0), "set": [shingle_set(t, shingle).tobytes() for t in batch.column(1).to_pylist()]}
+        yield {"mark": batch.column(0), "set": [short(shingle_set(t.as_py(), shingle)) for t in batch.column(1)]}
 
     pairs = shared.where("first <> mark").select(F.col("first").alias("u"), F.col("mark").alias("v"))
     if probed is not None:
@@ -393,7 +400,7 @@ def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: in
         u, v = [], []
         for i in range(batch.num_rows):
             x, y, a, b = (batch.column(k)[i] for k in range(4))
-            x, y, a, b = x.as_py(), y.as_py(), np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
+            x, y, a, b = x.as_py(), y.as_py(), np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")
             same = len(np.intersect1d(a, b, assume_unique=True))
             if same >= similarity * (len(a) + len(b) - same) - 1e-9 and same:
                 u.append(x)
@@ -406,6 +413,7 @@ def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: in
     rest = shared.where("n > 2").join(roots, "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
     parts = rest.groupBy("key", "root").agg(F.count("*").alias("c"))
     parts = parts.groupBy("key").agg(F.sum("c").alias("n"), F.max(F.struct("c", "root")).alias("top")).where("n > top.c")
+    parts = materialize(parts, "bucket-parts")
     blocks = lambda c: F.ceil(c / F.lit(block)).cast("int")
     dealt = rest.join(parts.select("key", F.col("top.root").alias("top"), blocks(F.col("n") - F.col("top.c")).alias("few"), blocks(F.col("top.c")).alias("many")), "key")
     at = lambda n: F.pmod(F.xxhash64("mark"), F.col(n)).cast("int")
@@ -419,7 +427,7 @@ def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: in
 
         def done() -> pa.RecordBatch:
             side, mark, root, body = zip(*held, strict=True)
-            got = list(set_links([np.frombuffer(x, np.uint64) for x in body], np.array(root), np.array(side), now[1] != now[2], similarity))
+            got = list(set_links([np.frombuffer(x, "<u4") for x in body], np.array(root), np.array(side), now[1] != now[2], similarity))
             return pa.RecordBatch.from_pydict({"u": [mark[i] for i, _ in got], "v": [mark[j] for _, j in got]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
 
         for batch in batches:

@@ -65,3 +65,21 @@ def test_set_links_against_all_pairs():
 
     want = roots([(i, j) for i in range(n) for j in range(i) if like(sets[i], sets[j])])
     assert len(set(want)) < n and roots(sim.set_links(sets, np.arange(n), np.zeros(n), False, 0.8)) == want
+
+
+def test_star_group(spark):
+    """Copies that are alike to one text, but not to each other: all are found, however many."""
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghijklm") for _ in range(8))
+    base = [word() for _ in range(300)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 500):
+        t = list(base)
+        for at in rng.sample(range(300), 6):
+            t[at] = word()
+        rows.append((i, " ".join(t)))
+    sets = [set(sim.shingle_set(t).tolist()) for _, t in rows]
+    like = [i for i in range(1, 500) if len(sets[i] & sets[0]) >= 0.8 * len(sets[i] | sets[0])]
+    assert len(like) > 400
+    got = {r.doc_id: r.keep_id for r in sim.near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in like)
