@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import mapped, materialize, tidy
+from kiln.llm.common import mapped, materialize, small_batches, tidy
 from kiln.llm.components import components
 from kiln.llm.shingles import shingles, word_hashes
 
@@ -308,19 +308,33 @@ COPY_SHINGLE, COPY_SIMILARITY, COPY_BANDS, COPY_ROWS = 5, 0.8, 24, 4
 COPY_BLOCK = 1024
 
 
-def band_keys(shingles: np.ndarray, bands: int = COPY_BANDS, rows: int = COPY_ROWS) -> list[int]:
-    """One key for each band, a hash of the band's number and its min-hashes over the set of shingles; none without any."""
-    if not len(shingles):
-        return []
-    least = np.full(bands * rows, ~np.uint64(0))
-    odd = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1 for k in range(bands * rows)], np.uint64)
+def min_hashes(shingles: np.ndarray, n: int) -> np.ndarray:
+    """The least values of n hash functions over a set of shingles."""
+    least = np.full(n, ~np.uint64(0))
+    odd = np.array([0x9E3779B97F4A7C15 + 2 * k * 0x632BE59BD9B4E019 & (1 << 64) - 1 for k in range(n)], np.uint64)
     for i in range(0, len(shingles), BATCH // 16):
         h = odd[:, None] * shingles[i : i + BATCH // 16]
         h ^= h >> np.uint64(32)
         h *= np.uint64(0xD6E8FEB86659FD93)
         least = np.minimum(least, h.min(1))
-    least = least.reshape(bands, rows)
-    return [xxhash.xxh3_64_intdigest(least[k].tobytes(), k) - (1 << 63) for k in range(bands)]
+    return least
+
+
+def band_keys(least: np.ndarray, bands: int = COPY_BANDS) -> list[int]:
+    """One key for each band, a hash of the band's number and its min-hashes."""
+    return [xxhash.xxh3_64_intdigest(x.tobytes(), k) - (1 << 63) for k, x in enumerate(least.reshape(bands, -1))]
+
+
+def sketch(least: np.ndarray) -> bytes:
+    """A byte of each min-hash: the share of equal bytes estimates the similarity of two sets."""
+    return (least >> np.uint64(5)).astype(np.uint8).tobytes()
+
+
+def may_be_alike(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether so many bytes of sketches (rows) are equal that the similarity may reach the bound: all but the last 1e-5 of
+    what two sets at the bound have (4.3 standard errors)."""
+    n = a.shape[-1]
+    return (a == b).sum(-1) >= n * similarity - 4.3 * np.sqrt(n * similarity * (1 - similarity))
 
 
 def shingle_set(text: str | None, shingle: int = COPY_SHINGLE) -> np.ndarray:
@@ -370,31 +384,49 @@ def probed_pairs(prints: DataFrame, most: int = MAX_BITS) -> DataFrame:
     return same.unionByName(near.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
-def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: int, block: int, probed: DataFrame | None = None) -> DataFrame:
+def copy_links(docs: DataFrame, keyed: DataFrame, sketches: DataFrame, similarity: float, shingle: int, block: int, probed: DataFrame | None = None) -> DataFrame:
     """(u, v) marks: links that connect all texts (doc_id, text, mark) that share a key of keyed (key, mark) and whose
     Jaccard similarity reaches the bound. Pairs of probed (u, v) are verified, too.
 
-    Each bucket's texts are first compared with its least mark. Where that leaves a bucket in several components, all
+    Each bucket's texts are first compared with the one that meets most other texts in all its buckets, which is likely
+    what the others were copied from. Where that leaves a bucket in several components, all
     its pairs of different components are compared: the texts outside its largest component with each other and with
-    that one, in blocks, so that no key's texts need be in one task. Buckets with the same texts are one.
+    that one, in blocks, so that no key's texts need be in one task. Buckets with the same texts are one. All comparisons
+    are first made on sketches (mark, sketch), and sets of shingles are moved for those texts only that have some other
+    one that may be alike.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("mark").alias("first"), F.bit_xor("mark").alias("s"), F.bit_xor(F.xxhash64("mark")).alias("t")).where("n > 1")
-    # Written, as parts below, so that the joins with them are plain shuffles, of which a hot key's rows can be split.
-    sizes = materialize(sizes.groupBy("n", "first", "s", "t").agg(F.min("key").alias("key")).select("key", "n", "first"), "bucket-sizes")
-    shared = materialize(keyed.join(sizes, "key").select("key", "n", "first", "mark"), "buckets")
-
-    def sets(batch: pa.RecordBatch):
-        yield {"mark": batch.column(0), "set": [short(shingle_set(t.as_py(), shingle)) for t in batch.column(1)]}
+    # Tables that are joined by key are written first, so that the joins are plain shuffles, of which hot keys can be split.
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("mark").alias("low"), F.bit_xor("mark").alias("s"), F.bit_xor(F.xxhash64("mark")).alias("t")).where("n > 1")
+    sizes = materialize(sizes.groupBy("n", "low", "s", "t").agg(F.min("key").alias("key")).select("key", "n"), "bucket-sizes")
+    members = materialize(keyed.join(sizes, "key").select("key", "n", "mark"), "bucket-members")
+    weight = members.groupBy("mark").agg(F.sum("n").alias("weight"))
+    firsts = members.join(weight, "mark").groupBy("key").agg(F.max(F.struct("weight", "mark")).alias("top")).select("key", F.col("top.mark").alias("first"))
+    shared = materialize(members.join(materialize(firsts, "bucket-firsts"), "key"), "buckets")
 
     pairs = shared.where("first <> mark").select(F.col("first").alias("u"), F.col("mark").alias("v"))
     if probed is not None:
         pairs = pairs.unionByName(probed)
-    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs")
-    wanted = shared.select("mark").unionByName(pairs.select(F.col("u").alias("mark"))).unionByName(pairs.select(F.col("v").alias("mark"))).distinct()
-    texts = docs.select("mark", "text").join(wanted, "mark", "left_semi").dropDuplicates(["mark"])
-    found = materialize(mapped(texts, sets, "mark long, set binary"), "sets")
-    both = pairs.join(found.select(F.col("mark").alias("u"), F.col("set").alias("a")), "u").join(found.select(F.col("mark").alias("v"), F.col("set").alias("b")), "v")
+    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    drawn = lambda column: np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), -1)
+
+    def likely(batch: pa.RecordBatch):
+        ok = may_be_alike(drawn(batch.column(2)), drawn(batch.column(3)), similarity)
+        yield {"u": batch.column(0).to_numpy()[ok], "v": batch.column(1).to_numpy()[ok]}
+
+    of = lambda table, name, at: table.select(F.col("mark").alias(at), F.col(name).alias(f"{name}_{at}"))
+    sketched = pairs.join(of(sketches, "sketch", "u"), "u").join(of(sketches, "sketch", "v"), "v").select("u", "v", "sketch_u", "sketch_v")
+    pairs = materialize(mapped(sketched, likely, "u long, v long"), "pairs")
+
+    def sets(batch: pa.RecordBatch):
+        yield {"mark": batch.column(0), "set": [short(shingle_set(t.as_py(), shingle)) for t in batch.column(1)]}
+
+    def sets_of(marks: DataFrame) -> DataFrame:
+        texts = docs.select("mark", "text").join(marks.distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+        return materialize(mapped(texts, sets, "mark long, set binary"), "sets")
+
+    found = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("mark")))
+    both = pairs.join(of(found, "set", "u"), "u").join(of(found, "set", "v"), "v").select("u", "v", "set_u", "set_v")
 
     def verified(batch: pa.RecordBatch):
         u, v = [], []
@@ -407,7 +439,7 @@ def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: in
                 v.append(y)
         yield {"u": u, "v": v}
 
-    links = materialize(mapped(both.select("u", "v", "a", "b"), verified, "u long, v long"), "links")
+    links = materialize(mapped(both, verified, "u long, v long"), "links")
     # Buckets of two are settled; larger ones that are in several components yet are compared whole.
     roots = components(links).withColumnRenamed("node", "mark")
     rest = shared.where("n > 2").join(roots, "mark", "left").select("key", "mark", F.coalesce("root", "mark").alias("root"))
@@ -420,28 +452,49 @@ def copy_links(docs: DataFrame, keyed: DataFrame, similarity: float, shingle: in
     inside = F.col("root") == F.col("top")
     dealt = dealt.withColumn("side", F.when(inside, F.col("few") + at("many")).otherwise(at("few")))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)))
-    dealt = dealt.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "mark", "root").join(found, "mark")
-
-    def work(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-
-        def done() -> pa.RecordBatch:
-            side, mark, root, body = zip(*held, strict=True)
-            got = list(set_links([np.frombuffer(x, "<u4") for x in body], np.array(root), np.array(side), now[1] != now[2], similarity))
-            return pa.RecordBatch.from_pydict({"u": [mark[i] for i, _ in got], "v": [mark[j] for _, j in got]}, schema=pa.schema([("u", pa.int64()), ("v", pa.int64())]))
-
-        for batch in batches:
-            for *task, side, mark, root, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if now != task:
-                    if len(held) > 1:
-                        yield done()
-                    now, held = task, []
-                held.append((side, mark, root, body))
-        if len(held) > 1:
-            yield done()
-
-    dealt = dealt.select("key", "lo", "hi", "side", "mark", "root", "set").repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    return links.unionByName(dealt.mapInArrow(tidy(work), "u long, v long"))
+    dealt = dealt.select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "mark", "root")
+
+    def tasks(table: DataFrame, name: str, work, schema: str) -> DataFrame:
+        """work(across, sides, marks, roots, bodies) of each (key, lo, hi), which is held as a whole; it returns columns."""
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            now, held_ = None, []
+
+            def done() -> pa.RecordBatch:
+                side, mark, root, body = zip(*held_, strict=True)
+                return pa.RecordBatch.from_pydict(work(now, np.array(side), np.array(mark), np.array(root), body))
+
+            for batch in batches:
+                for *task, side, mark, root, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                    if now != task:
+                        if len(held_) > 1:
+                            yield done()
+                        now, held_ = task, []
+                    held_.append((side, mark, root, body))
+            if len(held_) > 1:
+                yield done()
+
+        table = table.select("key", "lo", "hi", "side", "mark", "root", name).repartition(partitions, "key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+        return small_batches(table).mapInArrow(tidy(run), schema)
+
+    def sift(task: list, side: np.ndarray, mark: np.ndarray, root: np.ndarray, body: tuple) -> dict:
+        """The texts that have some other one, of another component, that may be alike; only their sets are moved."""
+        x = drawn(pa.array(body, pa.binary()))
+        ok = np.zeros(len(x), bool)
+        for i in range(len(x)):
+            other = root != root[i]
+            if task[1] != task[2]:
+                other &= side != side[i]
+            ok[i] = other.any() and may_be_alike(x[other], x[i], similarity).any()
+        n = int(ok.sum())
+        return {"key": [task[0]] * n, "lo": pa.array([task[1]] * n, pa.int32()), "hi": pa.array([task[2]] * n, pa.int32()), "side": pa.array(side[ok], pa.int32()), "mark": mark[ok], "root": root[ok]} if n else {"key": pa.array([], pa.int64()), "lo": pa.array([], pa.int32()), "hi": pa.array([], pa.int32()), "side": pa.array([], pa.int32()), "mark": pa.array([], pa.int64()), "root": pa.array([], pa.int64())}
+
+    def compare(task: list, side: np.ndarray, mark: np.ndarray, root: np.ndarray, body: tuple) -> dict:
+        got = list(set_links([np.frombuffer(x, "<u4") for x in body], root, side, task[1] != task[2], similarity))
+        return {"u": pa.array([int(mark[i]) for i, _ in got], pa.int64()), "v": pa.array([int(mark[j]) for _, j in got], pa.int64())}
+
+    sifted = materialize(tasks(dealt.join(sketches, "mark"), "sketch", sift, "key long, lo int, hi int, side int, mark long, root long"), "sifted")
+    return links.unionByName(tasks(sifted.join(sets_of(sifted.select("mark")), "mark"), "set", compare, "u long, v long"))
 
 
 def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: int = COPY_SHINGLE, bands: int = COPY_BANDS, rows: int = COPY_ROWS, block: int = COPY_BLOCK) -> DataFrame:
@@ -458,19 +511,21 @@ def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: i
     mark = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
     def made(batch: pa.RecordBatch):
-        fp, keys = np.zeros(batch.num_rows, np.uint64), []
+        fp, keys, drawn = np.zeros(batch.num_rows, np.uint64), [], []
         for i in range(batch.num_rows):  # one set at a time
             x = shingle_set(batch.column(2)[i].as_py(), shingle)
             fp[i] = majority(x)
-            keys.append(band_keys(x, bands, rows))
-        yield {"doc_id": batch.column(0), "mark": batch.column(1), "fp": fp.view(np.int64), "keys": keys}
+            least = min_hashes(x, bands * rows)
+            keys.append(band_keys(least, bands) if len(x) else [])
+            drawn.append(sketch(least))
+        yield {"doc_id": batch.column(0), "mark": batch.column(1), "fp": fp.view(np.int64), "keys": keys, "sketch": drawn}
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", mark.alias("mark"), F.col("text").cast("string").alias("text"))
-    slim = materialize(mapped(texts, made, f"doc_id {kind}, mark long, fp long, keys array<bigint>"), "bands")
+    slim = materialize(mapped(texts, made, f"doc_id {kind}, mark long, fp long, keys array<bigint>, sketch binary"), "bands")
     # Equal texts are one node; the mark stands for the text.
-    nodes = slim.where(F.size("keys") > 0).groupBy("mark").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"))
-    links = copy_links(texts, nodes.select("mark", F.explode("keys").alias("key")), similarity, shingle, block, probed_pairs(nodes.select("mark", "fp")))
+    nodes = slim.where(F.size("keys") > 0).groupBy("mark").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    links = copy_links(texts, nodes.select("mark", F.explode("keys").alias("key")), nodes.select("mark", "sketch"), similarity, shingle, block, probed_pairs(nodes.select("mark", "fp")))
     roots = components(links)
     labels = slim.select("doc_id", "mark", (F.size("keys") > 0).alias("worded")).join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     keep = labels.where("worded").groupBy("root").agg(F.min("doc_id").alias("keep_id"))

@@ -45,7 +45,8 @@ def test_bucket_dealt_out_in_blocks(spark):
     rows = shuffled_pairs(30)
     df = spark.createDataFrame([(i, t, 1000 + i) for i, t in rows], "doc_id long, text string, mark long")
     keyed = spark.createDataFrame([(7, 1000 + i) for i, _ in rows], "key long, mark long")
-    links = sim.copy_links(df, keyed, 0.8, 5, 8).collect()
+    sketches = spark.createDataFrame([(1000 + i, sim.sketch(sim.min_hashes(sim.shingle_set(t), 96))) for i, t in rows], "mark long, sketch binary")
+    links = sim.copy_links(df, keyed, sketches, 0.8, 5, 8).collect()
     assert {tuple(sorted((r.u - 1000, r.v - 1000))) for r in links} == {(g, g + 30) for g in range(30)}
 
 
