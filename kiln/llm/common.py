@@ -43,6 +43,11 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, limit: int) -> DataFrame:
+    """df, marked for broadcast if it has at most limit rows; limit times the size of a row is what a broadcast can hold."""
+    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+
+
 def drop_materialized(keep: int = 0) -> None:
     """Delete what materialize() wrote; results that were not read yet need it, so only at the end of a session."""
     while len(_made) > keep:

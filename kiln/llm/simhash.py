@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kiln.llm.common import mapped, materialize, small_batches, tidy
+from kiln.llm.common import few, mapped, materialize, small_batches, tidy
 from kiln.llm.components import components
 from kiln.llm.shingles import shingles, word_hashes
 
@@ -306,6 +306,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, most: int = MAX_BIT
 COPY_SHINGLE, COPY_SIMILARITY, COPY_BANDS, COPY_ROWS = 5, 0.8, 24, 4
 #: Texts that are compared with each other in one task; larger buckets are dealt out by pairs of blocks of this size.
 COPY_BLOCK = 1024
+#: Keys (8 bytes each, 16 with what they map to) are broadcast up to this many, else both sides are shuffled.
+BROADCAST_KEYS = 1_000_000
 
 
 def min_hashes(shingles: np.ndarray, n: int) -> np.ndarray:
@@ -396,10 +398,13 @@ def copy_links(docs: DataFrame, keyed: DataFrame, sketches: DataFrame, similarit
     one that may be alike.
     """
     partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Tables that are joined by key are written first, so that the joins are plain shuffles, of which hot keys can be split.
-    sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("mark").alias("low"), F.bit_xor("mark").alias("s"), F.bit_xor(F.xxhash64("mark")).alias("t")).where("n > 1")
+    # Keys of one text are most of all; they are left out by their counts before anything else is shuffled. Tables that are
+    # joined by key are written first, so that the joins are plain shuffles, of which hot keys can be split.
+    repeated = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "bucket-keys")
+    members = materialize(keyed.join(few(repeated, BROADCAST_KEYS), "key", "left_semi").distinct(), "bucket-all")
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.min("mark").alias("low"), F.bit_xor("mark").alias("s"), F.bit_xor(F.xxhash64("mark")).alias("t")).where("n > 1")
     sizes = materialize(sizes.groupBy("n", "low", "s", "t").agg(F.min("key").alias("key")).select("key", "n"), "bucket-sizes")
-    members = materialize(keyed.join(sizes, "key").select("key", "n", "mark"), "bucket-members")
+    members = materialize(members.join(sizes, "key").select("key", "n", "mark"), "bucket-members")
     weight = members.groupBy("mark").agg(F.sum("n").alias("weight"))
     firsts = members.join(weight, "mark").groupBy("key").agg(F.max(F.struct("weight", "mark")).alias("top")).select("key", F.col("top.mark").alias("first"))
     shared = materialize(members.join(materialize(firsts, "bucket-firsts"), "key"), "buckets")
@@ -407,7 +412,9 @@ def copy_links(docs: DataFrame, keyed: DataFrame, sketches: DataFrame, similarit
     pairs = shared.where("first <> mark").select(F.col("first").alias("u"), F.col("mark").alias("v"))
     if probed is not None:
         pairs = pairs.unionByName(probed)
-    pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    pairs = materialize(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "pairs-all")
+    wanted = shared.select("mark").unionByName(pairs.select(F.explode(F.array("u", "v")).alias("mark"))).distinct()
+    sketches = materialize(sketches.join(few(wanted, BROADCAST_KEYS), "mark", "left_semi").dropDuplicates(["mark"]), "sketches")
     drawn = lambda column: np.frombuffer(b"".join(x.as_py() for x in column), np.uint8).reshape(len(column), -1)
 
     def likely(batch: pa.RecordBatch):
@@ -422,7 +429,7 @@ def copy_links(docs: DataFrame, keyed: DataFrame, sketches: DataFrame, similarit
         yield {"mark": batch.column(0), "set": [short(shingle_set(t.as_py(), shingle)) for t in batch.column(1)]}
 
     def sets_of(marks: DataFrame) -> DataFrame:
-        texts = docs.select("mark", "text").join(marks.distinct(), "mark", "left_semi").dropDuplicates(["mark"])
+        texts = docs.select("mark", "text").join(few(marks.distinct(), BROADCAST_KEYS), "mark", "left_semi").dropDuplicates(["mark"])
         return materialize(mapped(texts, sets, "mark long, set binary"), "sets")
 
     found = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("mark")))
@@ -524,9 +531,9 @@ def near_copies(docs: DataFrame, similarity: float = COPY_SIMILARITY, shingle: i
     texts = docs.select("doc_id", mark.alias("mark"), F.col("text").cast("string").alias("text"))
     slim = materialize(mapped(texts, made, f"doc_id {kind}, mark long, fp long, keys array<bigint>, sketch binary"), "bands")
     # Equal texts are one node; the mark stands for the text.
-    nodes = slim.where(F.size("keys") > 0).groupBy("mark").agg(F.first("fp").alias("fp"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
+    nodes = slim.where(F.size("keys") > 0)
     links = copy_links(texts, nodes.select("mark", F.explode("keys").alias("key")), nodes.select("mark", "sketch"), similarity, shingle, block, probed_pairs(nodes.select("mark", "fp")))
-    roots = components(links)
-    labels = slim.select("doc_id", "mark", (F.size("keys") > 0).alias("worded")).join(roots.withColumnRenamed("node", "mark"), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
+    roots = components(links).withColumnRenamed("node", "mark")
+    labels = slim.select("doc_id", "mark", (F.size("keys") > 0).alias("worded")).join(few(roots, BROADCAST_KEYS), "mark", "left").withColumn("root", F.coalesce("root", "mark"))
     keep = labels.where("worded").groupBy("root").agg(F.min("doc_id").alias("keep_id"))
     return labels.join(keep, "root", "left").select("doc_id", "mark", F.when(F.col("worded"), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"))
