@@ -26,9 +26,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where it is unset (tests) a temporary folder of this process is set."""
+    """The folder named in spark.checkpoint.dir; where it is unset, a temporary one is set in local mode. On a cluster no
+    folder of this machine will do, so there it has to be set."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not conf:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         conf = tempfile.mkdtemp(prefix="kiln-")
         spark.conf.set("spark.checkpoint.dir", conf)
     return conf
