@@ -37,6 +37,7 @@ def _fold_pairs() -> tuple[str, str]:
 
 
 FOLD_FROM, FOLD_TO = _fold_pairs()
+#: Tags, tokens and the punctuation taken off their ends.
 TAG = r"<[^>]+>"
 TOKEN = r"(?:https?://\S+)|(?:[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*)"
 EDGES = r"^[!-/:-@\[-`{-~]+|[!-/:-@\[-`{-~]+$"

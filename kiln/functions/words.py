@@ -16,6 +16,7 @@ TENS = "twenty thirty forty fifty sixty seventy eighty ninety".split()
 SCALES = "thousand million billion trillion quadrillion quintillion sextillion septillion octillion nonillion decillion".split()
 ORDINALS = {"one": "first", "two": "second", "three": "third", "five": "fifth", "eight": "eighth", "nine": "ninth", "twelve": "twelfth"}
 MONTHS = "january february march april may june july august september october november december".split()
+#: The format of dates and times that are put in words.
 DATE = re.compile(r"\b(\d{4})/(\d{2})/(\d{2})(?:\s+AT\s+\d{1,2}:\d{2}\s+(?:AM|PM))?\b", re.IGNORECASE)
 
 

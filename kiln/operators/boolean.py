@@ -8,8 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.operators.index import Index
+from kiln.operators.index import Index, tokenise
 
+#: What the query language consists of; the texts of its errors are fixed, too.
 LEXEME = re.compile(r"[()]|\b(?:AND|OR|NOT)\b|[A-Za-z0-9_]+(?:-[A-Za-z0-9_]+)*")
 BINDING = {"OR": 1, "AND": 2, "NOT": 3}
 
@@ -128,3 +129,13 @@ def normalise_query(query: str, clean) -> str:
             got = clean(x)
             out.append(got[0] if got else x.lower())
     return " ".join(out)
+
+
+def cleaned(index: Index, query: str) -> str:
+    """The query with its terms cleaned by the index's own options; the terms of one query are all that is collected."""
+    terms = sorted({x for x in lex(query) if x not in BINDING and x not in "()"})
+    if not terms:
+        return query
+    each = tokenise(index.docs.sparkSession.createDataFrame([(t, t) for t in terms], "doc_id string, text string"), index.config)
+    found = {r["doc_id"]: r["tokens"] for r in each.select("doc_id", "tokens").collect()}
+    return normalise_query(query, lambda x: found.get(x, []))

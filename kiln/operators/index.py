@@ -51,6 +51,10 @@ def pretty_vectors(postings: DataFrame) -> DataFrame:
     return postings.groupBy("doc_id", "doc_ord").agg(F.concat(F.lit("{"), F.array_join(each, ", "), F.lit("}")).alias("vector")).drop("doc_ord")
 
 
+#: What `keep` keeps; tokens too, as all else begins with them.
+KEPT = ("tokenised", "tf", "postings")
+
+
 @dataclass(frozen=True)
 class Index:
     """A snapshot: documents and what follows from them. Adding makes a new snapshot, so no cache can be stale."""
@@ -61,14 +65,14 @@ class Index:
     text_col: str = "text"
     order_col: str | None = None
     version: int = 0
-    #: Keep term counts and postings (memory, then disk of the executors; lost parts are computed again) for several uses.
+    #: Keep tokens, term counts and postings (memory, then disk of the executors; lost parts are computed again) for several uses.
     keep: bool = False
     _made: dict = field(default_factory=dict, repr=False, compare=False)
 
     def _once(self, name: str, make):
         if name not in self._made:
             made = make()
-            self._made[name] = made.persist() if self.keep and name in ("tf", "postings") else made
+            self._made[name] = made.persist() if self.keep and name in KEPT else made
         return self._made[name]
 
     @property
@@ -105,7 +109,7 @@ class Index:
 
     def release(self) -> None:
         """Drop what `keep` kept."""
-        for name in ("tf", "postings"):
+        for name in KEPT:
             if name in self._made:
                 self._made.pop(name).unpersist()
 

@@ -37,6 +37,8 @@ def search(index: Index, queries: DataFrame, k: int = 5, normalize: bool = True,
     rounding. Queries without a document that shares a term get the first k documents with score 0.
     """
     q = query_vectors(index, queries, qid_col, text_col)
+    # A known term of a weight other than 0 is in some posting, so these queries find something.
+    finding = q.where("qw <> 0").select("qid").distinct()
     length = q.groupBy("qid").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qn"))
     if normalize:
         q = q.join(length, "qid").where("qn > 0").select("qid", "term", (F.col("qw") / F.col("qn")).alias("qw"))
@@ -48,7 +50,7 @@ def search(index: Index, queries: DataFrame, k: int = 5, normalize: bool = True,
         dots = dots.join(length, "qid").select("qid", "doc_id", "doc_ord", F.coalesce(F.try_divide("s", F.col("qn") * F.col("norm")), F.lit(0.0)).alias("s"))
     scored = dots.select("qid", "doc_id", "doc_ord", F.round("s", DIGITS).alias("score"))
     found = top(scored, k)
-    without = queries.select(F.col(qid_col).alias("qid")).distinct().join(found.select("qid").distinct(), "qid", "left_anti")
+    without = queries.select(F.col(qid_col).alias("qid")).distinct().join(finding, "qid", "left_anti")
     first = index.tokenised.select("doc_id", "doc_ord").orderBy("doc_ord").limit(k)
     w = Window.partitionBy("qid").orderBy("doc_ord")
     fallback = without.crossJoin(F.broadcast(first)).select("qid", "doc_id", F.lit(0.0).alias("score"), F.row_number().over(w).alias("rank"))  # k rows a query

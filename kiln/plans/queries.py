@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +12,8 @@ from pyspark.sql import functions as F
 from kiln.functions import text as tx
 from kiln.functions import words
 from kiln.operators import boolean, dense, evaluation, lsa, present, ranked, report, web
-from kiln.operators.index import Index, pretty_vectors, tokenise
+from kiln.operators.index import Index, IndexCatalog, pretty_vectors, tokenise
+from kiln.sources import readers, sinks
 from kiln.sources.readers import read_table
 
 K = 10
@@ -366,9 +369,12 @@ def nested_extract(spark, sf):
     return web.nested(read_table(spark, sf, "pages"), "<li>.*?</li>", {"target": 'href="([^"]*)"', "label": ">([^<]+)</a>"})
 
 
-@query("SELECT page_id, regexp_matches(url, '^https://m\\.[a-z.]*/(en|fr|de|es)/[0-9]+') AS mobile FROM pages")
+_ADDRESS = "'https://' || CASE page_id % 4 WHEN 0 THEN 'm' ELSE 'www' END || '.example.org/' || CASE page_id % 3 WHEN 0 THEN 'blog' ELSE 'news' END || '/' || CASE page_id % 5 WHEN 0 THEN 'Upper' ELSE 'a-slug' END || '-' || page_id"
+
+
+@query(rf"SELECT page_id, regexp_matches({_ADDRESS}, '^https://www\.example\.org/news/[a-z0-9-]+-[0-9]+$') AS article FROM pages")
 def url_predicate(spark, sf):
-    return read_table(spark, sf, "pages").select("page_id", F.col("url").rlike(r"^https://m\.[a-z.]*/(en|fr|de|es)/[0-9]+").alias("mobile"))
+    return read_table(spark, sf, "pages").select("page_id", web.article_url(F.expr(_ADDRESS), "www.example.org").alias("article"))
 
 
 # -- presentation
@@ -382,3 +388,103 @@ def preview(spark, sf):
 @query("SELECT doc_id, len(regexp_extract_all(text, '(?i)\\Qth\\E')) + len(regexp_extract_all(text, '(?i)\\Qé\\E')) AS n FROM documents")
 def highlight_counts(spark, sf):
     return documents(spark, sf).select("doc_id", present.highlight_count(F.col("text"), ["th", "É"]).cast("long").alias("n"))
+
+
+# -- files: each query writes its files in a folder of its own and reads them back
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kiln-")
+    return f"{folder.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+
+
+@query("SELECT line, CASE WHEN doc_id % 5 = 0 THEN 'wh_' || line ELSE doc_id::VARCHAR END AS id, title, digest FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS line, lang AS title, md5(text) AS digest FROM documents)")
+def jsonl_scan(spark, sf):
+    path = scratch(spark, "articles") + ".jsonl"
+    d = documents(spark, sf).withColumn("id", F.col("doc_id").cast("string"))
+    line = F.when(F.col("doc_id") % 5 == 0, F.to_json(F.struct(F.col("lang").alias("title"), F.col("text").alias("content")))).otherwise(F.to_json(F.struct("id", F.col("lang").alias("title"), F.col("text").alias("content"))))
+    d.orderBy("doc_id").select(line.alias("value")).coalesce(1).write.text(path)
+    return readers.read_documents(spark, path).select("line", "id", "title", F.md5(F.col("content").cast("binary")).alias("digest"))
+
+
+def _as_array(records: DataFrame, path: str) -> str:
+    """One file with a JSON array; for small tables."""
+    records.select(F.to_json(F.struct("*")).alias("x")).agg(F.concat(F.lit("["), F.array_join(F.collect_list("x"), ","), F.lit("]"))).write.text(path)
+    return path
+
+
+@query("SELECT item_id::VARCHAR AS id, md5(text) AS digest FROM benchmark")
+def json_array_scan(spark, sf):
+    b = read_table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), "text")
+    return readers.read_documents(spark, _as_array(b, scratch(spark, "documents"))).select("id", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+_RECORDS = "item_id::VARCHAR AS qid, CASE WHEN item_id % 2 = 1 OR text = '' THEN 'q' || item_id ELSE text END AS text"
+
+
+def _query_records(spark, sf):
+    evidence = F.expr("transform(array(item_id * 2, null, item_id * 2, item_id + 1), x -> named_struct('id', cast(x as string)))")
+    return read_table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("id"), F.when(F.col("item_id") % 2 == 1, "").otherwise(F.col("text")).alias("description"), F.concat(F.lit("q"), "item_id").alias("query"), evidence.alias("evidence_list"))
+
+
+@query(f"SELECT qid, md5(text) AS digest FROM (SELECT {_RECORDS} FROM benchmark)")
+def query_scan(spark, sf):
+    q = readers.read_queries(spark, _as_array(_query_records(spark, sf), scratch(spark, "queries")))
+    return q.select("qid", F.md5(F.col("text").cast("binary")).alias("digest"))
+
+
+@query("SELECT item_id::VARCHAR AS qid, (item_id * 2)::VARCHAR AS doc_id FROM benchmark UNION SELECT item_id::VARCHAR, (item_id + 1)::VARCHAR FROM benchmark")
+def qrel_scan(spark, sf):
+    return readers.qrels_of(readers.read_queries(spark, _as_array(_query_records(spark, sf), scratch(spark, "qrels"))))
+
+
+@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_inner_product(q.v, d.v), 6) AS score FROM e q, e d WHERE q.vec_id % 50 = 0), r AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s QUALIFY rank <= {K}) SELECT concat_ws(' ', qid::VARCHAR, '0', doc_id::VARCHAR, rank::VARCHAR, printf('%.6f', score), 'tf-idf_run') AS line FROM r")
+def trec_file(spark, sf):
+    e, path = read_table(spark, sf, "embeddings"), scratch(spark, "run")
+    sinks.write_trec(evaluation.trec_lines(dense.search(e, e.where("vec_id % 50 = 0"), K), "TF-IDF"), path)
+    return spark.read.text(path).withColumnRenamed("value", "line")
+
+
+@query(f"WITH c AS (SELECT f AS field, term, count(*) AS n FROM (SELECT 'source' AS f, unnest({tokens_sql('source')}) AS term FROM documents UNION ALL SELECT 'lang', unnest({tokens_sql('lang')}) FROM documents) GROUP BY ALL) SELECT 'basic' AS method, term || ' : ' || n AS line FROM c UNION ALL SELECT 'basic', '' FROM (SELECT DISTINCT field FROM c), range(2)")
+def token_report_file(spark, sf):
+    path = scratch(spark, "tokens")
+    sinks.write_token_report(report.token_frequencies(documents(spark, sf), ("source", "lang"), {"basic": tx.TextConfig()}), path)
+    return spark.read.text(path).select("method", F.col("value").alias("line"))
+
+
+@query("SELECT doc_id::VARCHAR AS id, lang AS title FROM documents")
+def append_file(spark, sf):
+    path = scratch(spark, "crawled")
+    d = documents(spark, sf).select(F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("title"))
+    for k in range(2):
+        sinks.append_jsonl(d.where(F.col("id").cast("long") % 2 == k), path)
+    return readers.read_jsonl(spark, path).select("id", "title")
+
+
+# -- options, catalogue, cleaned queries
+
+
+@query(f"SELECT doc_id, list_filter(list_transform(regexp_extract_all(lower(regexp_replace(replace(replace(coalesce(text, ''), '\\n', ' '), chr(10), ' '), '{tx.TAG}', '', 'g')), {_quoted(tx.TOKEN)}), lambda t: regexp_replace(t, {_quoted(tx.EDGES)}, '', 'g')), lambda t: length(t) >= 4) AS tokens FROM documents")
+def tokenize_options(spark, sf):
+    return documents(spark, sf).select("doc_id", tx.tokens(F.col("text"), tx.TextConfig(fold=False, stop_words=(), least=4)).alias("tokens"))
+
+
+@query(f"WITH {_TF} SELECT 'base' AS name, (SELECT count(*) FROM tok) AS n_docs, (SELECT count(DISTINCT term) FROM tf) AS n_terms")
+def index_catalogue(spark, sf):
+    d, catalogue = documents(spark, sf).select("doc_id", "text"), IndexCatalog()
+    catalogue.register("base", Index(d.where("doc_id % 3 = 0"), order_col="doc_id"))
+    catalogue.add("base", d)
+    (name,) = catalogue.names()
+    return catalogue.get(name).stats().select(F.lit(name).alias("name"), "n_docs", "n_terms")
+
+
+@query(f"WITH {_BP} SELECT doc_id FROM ({_t('est')} EXCEPT {_t('les')} UNION {_t('und')})")
+def bool_cleaned(spark, sf):
+    index = index_of(spark, sf)
+    return boolean.search(index, boolean.cleaned(index, "EST AND NOT (Les) OR UND"))
+
+
+@query("SELECT (item_id % 7)::VARCHAR AS qid, max(item_id) AS pos FROM benchmark GROUP BY item_id % 7")
+def repeated_qid(spark, sf):
+    q = read_table(spark, sf, "benchmark").select((F.col("item_id") % 7).cast("string").alias("qid"), F.col("item_id").alias("pos"))
+    return evaluation.last_of_query(q).select("qid", "pos")
