@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +54,8 @@ class TextConfig:
     numbers: bool = False
     stop_words: tuple[str, ...] = tuple(STOP_WORDS)
     least: int = 2
+    #: Base forms (form) that lemmas may have; without it the words of the corpus count.
+    lexicon: DataFrame | None = field(default=None, compare=False, repr=False)
 
 
 def guard(c: Column) -> Column:
@@ -102,10 +104,9 @@ def tokens(c: Column, config: TextConfig = TextConfig()) -> Column:
     return kept_tokens(raw_tokens(prepared(c, config)), config.stop_words, config.least)
 
 
-def joined_text(title: Column, content: Column, text: Column) -> Column:
-    """The non-empty ones of title, content and text, with blanks between."""
-    empty = F.lit("")
-    return F.concat_ws(" ", F.nullif(title, empty), F.nullif(content, empty), F.nullif(text, empty))
+def joined_text(*parts: Column) -> Column:
+    """The non-empty ones of parts (title, content and text, say), with blanks between."""
+    return F.concat_ws(" ", *(F.nullif(p.cast("string"), F.lit("")) for p in parts))
 
 
 def document_id(id_: Column, second: Column, order: Column) -> Column:
@@ -114,25 +115,27 @@ def document_id(id_: Column, second: Column, order: Column) -> Column:
     return F.coalesce(missing(id_), F.nullif(second.cast("string"), F.lit("")), F.concat(F.lit("doc_"), order.cast("string")))
 
 
-def vocabulary_map(tokenised: DataFrame, config: TextConfig, doc_key: str = "doc_id") -> DataFrame:
-    """tokenised (doc_key, tokens) with lemmas or stems and number words put on.
+def vocabulary_map(tokenised: DataFrame, config: TextConfig, lexicon: DataFrame | None = None) -> DataFrame:
+    """tokenised (..., tokens) with lemmas or stems and number words put on.
 
-    Each distinct token is mapped once, by an Arrow UDF over the vocabulary, and joined back to (document, position).
+    Each distinct token is mapped once, by an Arrow UDF over the vocabulary, and joined back to (row, position). The
+    other columns travel along, so rows are numbered in one evaluation only. lexicon (form): the base forms of lemmas.
     """
     from kiln.functions import words
 
     if not (config.stem or config.lemma or config.numbers):
         return tokenised
     keyed = tokenised.withColumn("__row", F.monotonically_increasing_id())
-    each = keyed.select("__row", F.posexplode("tokens").alias("pos", "token"))
-    vocabulary = each.select("token").distinct()
+    others = [c for c in tokenised.columns if c != "tokens"]
+    each = keyed.select("__row", *others, F.posexplode_outer("tokens").alias("pos", "token"))
+    vocabulary = tokenised.select(F.explode("tokens").alias("token")).distinct()
     if config.lemma:
-        vocabulary = words.lemmas(vocabulary).select("token", F.col("lemma").alias("form"))
+        vocabulary = words.lemmas(vocabulary, lexicon).select("token", F.col("lemma").alias("form"))
     elif config.stem:
         vocabulary = vocabulary.select("token", words.porter(F.col("token")).alias("form"))
     else:
         vocabulary = vocabulary.select("token", F.col("token").alias("form"))
     form = F.split(words.number_words(F.col("form")), " ") if config.numbers else F.array("form")
-    mapped = each.join(vocabulary.select("token", form.alias("forms")), "token")
-    back = mapped.groupBy("__row").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "forms"))), lambda x: x["forms"])).alias("new"))
-    return keyed.join(back, "__row", "left").withColumn("tokens", F.coalesce("new", F.expr("cast(array() as array<string>)"))).drop("__row", "new")
+    mapped = each.join(vocabulary.select("token", form.alias("forms")), "token", "left")
+    placed = F.collect_list(F.when(F.col("token").isNotNull(), F.struct("pos", "forms")))
+    return mapped.groupBy("__row", *others).agg(F.flatten(F.transform(F.array_sort(placed), lambda x: x["forms"])).alias("tokens")).select(*tokenised.columns)

@@ -188,7 +188,7 @@ def lemmas(vocabulary: DataFrame, lexicon: DataFrame | None = None) -> DataFrame
 
     lexicon (form): the words that count; by default the vocabulary itself, since no dictionary is at hand.
     """
-    known = (lexicon or vocabulary.select(F.col("token").alias("form"))).distinct()
+    known = (vocabulary.select(F.col("token").alias("form")) if lexicon is None else lexicon.select("form")).distinct()
     rules = F.array(*(F.struct(F.lit(a).alias("end"), F.lit(b).alias("to")) for a, b in DETACH))
     tried = vocabulary.select("token", F.explode(rules).alias("r")).where("token like concat('%', r.end) and length(token) >= length(r.end)")
     tried = tried.where("not (token like '%ss' and r.end = 's')").select("token", F.expr("concat(substring(token, 1, length(token) - length(r.end)), r.to)").alias("form"))

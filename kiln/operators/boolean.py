@@ -136,6 +136,6 @@ def cleaned(index: Index, query: str) -> str:
     terms = sorted({x for x in lex(query) if x not in BINDING and x not in "()"})
     if not terms:
         return query
-    each = tokenise(index.docs.sparkSession.createDataFrame([(t, t) for t in terms], "doc_id string, text string"), index.config)
+    each = tokenise(index.docs.sparkSession.createDataFrame([(t, t) for t in terms], "doc_id string, text string"), index.config, lexicon=index.lexicon if index.config.lemma else None)
     found = {r["doc_id"]: r["tokens"] for r in each.select("doc_id", "tokens").collect()}
     return normalise_query(query, lambda x: found.get(x, []))

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from kiln.operators.index import Index
 from kiln.operators.ranked import DIGITS, top
 
 #: Query vectors sent to every task; more are searched in runs of this many.
@@ -34,6 +35,12 @@ def encode(docs: DataFrame, encoder: Callable[[list[str]], np.ndarray], id_col:
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, embedding array<float>")
 
 
+def embeddings(index: Index, encoder: Callable[[list[str]], np.ndarray], batch: int = 64) -> DataFrame:
+    """(doc_id, embedding) of a snapshot's documents with one text column, made once and kept with it if it keeps; a
+    snapshot with more documents, and one that was released, encodes anew. One encoder per snapshot."""
+    return index._once("embeddings", lambda: encode(index.docs, encoder, index.id_col, index.text_col, batch))
+
+
 def _matrix(column) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype("f8")
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))

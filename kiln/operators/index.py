@@ -7,14 +7,20 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kiln.functions.text import TextConfig, tokens, vocabulary_map
+from kiln.functions.text import TextConfig, joined_text, tokens, vocabulary_map
 
 
-def tokenise(docs: DataFrame, config: TextConfig = TextConfig(), id_col: str = "doc_id", text_col: str = "text", order_col: str | None = None) -> DataFrame:
-    """(doc_id, doc_ord, tokens) of the documents that have tokens; the others are in no statistics."""
+def tokenise(docs: DataFrame, config: TextConfig = TextConfig(), id_col: str = "doc_id", text_col: str | tuple[str, ...] = "text", order_col: str | None = None, lexicon: DataFrame | None = None) -> DataFrame:
+    """(doc_id, doc_ord, tokens) of the documents that have tokens; the others are in no statistics.
+
+    Several text columns are joined by blanks. lexicon: the base forms of lemmas, if not those of the options. The
+    tokens come out of a generator of one row: a filter on their number can't be moved below it, where the whole text
+    would be tokenised twice.
+    """
+    text = F.col(text_col) if isinstance(text_col, str) else joined_text(*map(F.col, text_col))
     order = F.col(order_col) if order_col else F.monotonically_increasing_id()
-    out = docs.select(F.col(id_col).alias("doc_id"), order.alias("doc_ord"), tokens(F.col(text_col), config).alias("tokens"))
-    return vocabulary_map(out, config).where(F.size("tokens") > 0)
+    out = docs.select(F.col(id_col).alias("doc_id"), order.alias("doc_ord"), F.explode(F.array(tokens(text, config))).alias("tokens"))
+    return vocabulary_map(out, config, config.lexicon if lexicon is None else lexicon).where(F.size("tokens") > 0)
 
 
 def log_tf(c: Column) -> Column:
@@ -52,7 +58,7 @@ def pretty_vectors(postings: DataFrame) -> DataFrame:
 
 
 #: What `keep` keeps; tokens too, as all else begins with them.
-KEPT = ("tokenised", "tf", "postings")
+KEPT = ("tokenised", "tf", "postings", "embeddings")
 
 
 @dataclass(frozen=True)
@@ -62,7 +68,7 @@ class Index:
     docs: DataFrame
     config: TextConfig = TextConfig()
     id_col: str = "doc_id"
-    text_col: str = "text"
+    text_col: str | tuple[str, ...] = "text"
     order_col: str | None = None
     version: int = 0
     #: Keep tokens, term counts and postings (memory, then disk of the executors; lost parts are computed again) for several uses.
@@ -79,6 +85,14 @@ class Index:
     def tokenised(self) -> DataFrame:
         return self._once("tokenised", lambda: tokenise(self.docs, self.config, self.id_col, self.text_col, self.order_col))
 
+    @property
+    def lexicon(self) -> DataFrame:
+        """(form): the base forms that lemmas may have; those of the options, or else the words of the documents."""
+        if self.config.lexicon is not None:
+            return self.config.lexicon
+        plain = replace(self.config, lemma=False, stem=False, numbers=False)
+        return self._once("lexicon", lambda: tokenise(self.docs, plain, self.id_col, self.text_col).select(F.explode("tokens").alias("form")).distinct())
+
     @property
     def n_docs(self) -> int:
         return self._once("n", lambda: self.tokenised.count())
@@ -108,10 +122,12 @@ class Index:
         return self._once("universe", lambda: self.tokenised.select(F.col("doc_id").cast("string").alias("doc_id")).distinct())
 
     def release(self) -> None:
-        """Drop what `keep` kept."""
-        for name in KEPT:
-            if name in self._made:
+        """Drop what `keep` kept, and latent models."""
+        for name in list(self._made):
+            if name in KEPT:
                 self._made.pop(name).unpersist()
+            elif name.startswith("latent"):
+                self._made.pop(name).release()
 
     def stats(self) -> DataFrame:
         """One row: documents, terms, distinct ids."""
@@ -123,11 +139,9 @@ class Index:
 
         Repeats inside new are all added, and documents without tokens don't count as indexed.
         """
-        key = F.col(self.id_col)
         have = self.tokenised.select(F.col("doc_id").alias(self.id_col)).distinct()
         fresh = new.join(have, self.id_col, "left_anti")
         counts = new.join(have.withColumn("__have", F.lit(True)), self.id_col, "left").agg(F.sum(F.when(F.col("__have"), 0).otherwise(1)).cast("long").alias("added"), F.sum(F.when(F.col("__have"), 1).otherwise(0)).cast("long").alias("skipped"))
-        del key
         return replace(self, docs=self.docs.unionByName(fresh, allowMissingColumns=True), version=self.version + 1, _made={}), counts
 
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kiln.functions.text import tokens
-from kiln.operators.index import Index, log_tf
+from kiln.functions.text import TextConfig
+from kiln.operators.index import Index, log_tf, tokenise
 
 #: Rows of query vectors that are broadcast to the postings; more are joined by shuffle.
 BROADCAST_TERMS = 200_000
@@ -18,9 +18,15 @@ def small(df: DataFrame, limit: int = BROADCAST_TERMS) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
-def query_vectors(index: Index, queries: DataFrame, qid_col: str = "qid", text_col: str = "text") -> DataFrame:
-    """(qid, term, qw): log TF times the index's IDF; unknown terms are left out, terms of IDF 0 stay with weight 0."""
-    q = queries.select(F.col(qid_col).alias("qid"), F.explode(tokens(F.col(text_col), index.config)).alias("term")).groupBy("qid", "term").agg(F.count("*").alias("tf"))
+def query_vectors(index: Index, queries: DataFrame, qid_col: str = "qid", text_col: str = "text", config: TextConfig | None = None) -> DataFrame:
+    """(qid, term, qw): log TF times the index's IDF; unknown terms are left out, terms of IDF 0 stay with weight 0.
+
+    Queries get the stems, lemmas and number words of the index's options, or of others (config). Base forms of lemmas
+    are looked up where those of the documents are.
+    """
+    config = config or index.config
+    lexicon = index.lexicon if config.lemma and config.lexicon is None else None
+    q = tokenise(queries, config, qid_col, text_col, lexicon=lexicon).select(F.col("doc_id").alias("qid"), F.explode("tokens").alias("term")).groupBy("qid", "term").agg(F.count("*").alias("tf"))
     return index.vocab.join(small(q), "term").select("qid", "term", (log_tf(F.col("tf")) * F.col("idf")).alias("qw"))
 
 

@@ -98,6 +98,57 @@ def test_lsa_distributed_is_the_same(spark, abc, monkeypatch):
     assert {k: dict(v) for k, v in got.items()} == {k: pytest.approx(dict(v), abs=1e-5) for k, v in want.items()}
 
 
+def test_lsa_model_is_kept_with_its_snapshot(spark):
+    docs = spark.createDataFrame([(1, "aa bb"), (2, "bb cc"), (3, "dd")], "doc_id long, text string")
+    index = Index(docs, order_col="doc_id", keep=True)
+    first = lsa.model(index)
+    assert lsa.model(index) is first
+    more, _ = index.add(spark.createDataFrame([(4, "cc dd")], "doc_id long, text string"))
+    assert lsa.model(more) is not first
+    none = spark.createDataFrame([], "qid string, text string")
+    assert lsa.search(index, none).collect() == []
+    assert lsa.search(Index(docs.limit(0), order_col="doc_id"), none).collect() == []
+    index.release()
+    assert not index._made.keys() & {"latent 200", "tf"}
+
+
+def test_lsa_runs_of_queries(spark, abc, monkeypatch):
+    q = spark.createDataFrame([(f"q{i}", t) for i, t in enumerate(["bb cc", "dd", "cc", "zzz", "bb"])], "qid string, text string")
+    want = found(lsa.search(abc, q, 2))
+    monkeypatch.setattr(lsa, "QUERIES", 2)
+    assert found(lsa.search(abc, q, 2)) == want
+
+
+def test_queries_get_the_forms_of_the_index(spark):
+    docs = spark.createDataFrame([(1, "dog house"), (2, "cats cat"), (3, "running")], "doc_id long, text string")
+    q = spark.createDataFrame([("q", "dogs")], "qid string, text string")
+    for config in (tx.TextConfig(stem=True), tx.TextConfig(lemma=True)):
+        got = ranked.search(Index(docs, config, order_col="doc_id"), q, 1).collect()
+        assert [(r.doc_id, r.score > 0) for r in got] == [(1, True)]
+    plain = Index(docs, order_col="doc_id")
+    assert ranked.search(plain, q, 1).first().score == 0
+    assert [r.doc_id for r in lsa.search(plain, q, 1, config=tx.TextConfig(lemma=True)).collect()] == [1]
+    lexicon = spark.createDataFrame([("hous",)], "form string")
+    mice = Index(spark.createDataFrame([(1, "houss")], "doc_id long, text string"), tx.TextConfig(lemma=True, lexicon=lexicon), order_col="doc_id")
+    assert [r.term for r in mice.tf.collect()] == ["houss"]  # a double s stays
+
+
+def test_index_over_several_columns(spark):
+    docs = spark.createDataFrame([(1, "aa", None, "bb"), (2, "", "cc", None), (3, None, None, "")], "doc_id long, title string, content string, text string")
+    index = Index(docs, text_col=("title", "content", "text"), order_col="doc_id")
+    assert {r.doc_id: r.tokens for r in index.tokenised.collect()} == {1: ["aa", "bb"], 2: ["cc"]}
+
+
+def test_embeddings_are_kept_and_runs_timed(spark):
+    index = Index(spark.createDataFrame([(1, "aa"), (2, None)], "doc_id long, text string"), keep=True)
+    made = dense.embeddings(index, lambda texts: [[len(t) + 1.0, 0.0] for t in texts])
+    assert dense.embeddings(index, None) is made
+    run, total, mean = evaluation.timed(made, 4)
+    assert run.count() == 2 and mean == total / 4
+    assert evaluation.timed(made.limit(0), 0)[2] == 0
+    index.release()
+
+
 @pytest.fixture(scope="module")
 def xyz(spark):
     rows = [("1", "xx"), ("2", "xx yy"), ("10", "xx"), ("3", "yy zz"), ("11", "ww")]
