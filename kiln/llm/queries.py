@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from kiln.llm import merkle
 from kiln.llm.common import table
 from kiln.llm.compact_windows import near_passages
 from kiln.llm.decontaminate import contamination
@@ -66,7 +69,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_array_dedup, op3_language_id, op4_token_counts, op5_decontamination, op6_packing, op7_compact_windows, op8_simhash, op9_secret_scan, op10_toxicity)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against the manifest; of a third of them the text that is checked was put in lower case."""
+    docs = table(spark, sf_dir, "documents")
+    third = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 3 == 0
+    lowered = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    other = merkle.leaf([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), lowered])
+    rows = merkle.manifest(docs, carry={"tampered": F.when(third, other)})
+    rows = merkle.verified(rows.withColumn("now", F.coalesce("tampered", "leaf")), "now")
+    proof = F.sha2(merkle.siblings(F.col("proof")).cast("binary"), 256)
+    return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_array_dedup, op3_language_id, op4_token_counts, op5_decontamination, op6_packing, op7_compact_windows, op8_simhash, op9_secret_scan, op10_toxicity, op11_merkle_manifest)}
 
 _EXACT = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
@@ -90,4 +105,40 @@ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w.w) AS contaminated
 FROM w LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": _EXACT, "op5_decontamination": _CONTAMINATION}
+def _manifest_sql(most: int = 8) -> str:
+    """Level by level, for trees of up to 8 ** most leaves."""
+    value = lambda c: f"coalesce(strlen({c}::VARCHAR) || ':' || {c}, '-')"
+    row = lambda text: "sha256(" + " || ".join([*map(value, ("doc_id", "source", "lang", "n_chars")), value(text)]) + ")"
+    lowered = f"translate(text, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    bit = "lambda x, y: xor(x >> 1, (x & 1) * 3988292384)"
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda z: ascii(z)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], {bit})))"
+    parts = [f"l AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, {row('text')} AS leaf, CASE WHEN {crc} % 3 = 0 THEN {row(lowered)} ELSE {row('text')} END AS now FROM documents)"]
+    parts += ["d AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id) - 1 AS place FROM l)"]
+
+    def levels(p: str, nodes: str) -> str:
+        parts.append(f"{p}0 AS ({nodes})")
+        for k in range(1, most + 1):
+            parts.append(f"{p}{k} AS (SELECT tree, place // 8 AS place, CASE WHEN any_value(n) = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY place)) END AS h, (any_value(n) + 7) // 8 AS n FROM {p}{k - 1} GROUP BY tree, place // 8)")
+        return f"{p}{most}"
+
+    def up(p: str, rows: str, start: str) -> str:
+        """rows (.., tree, place, node, sib): node is folded up to the root, siblings are put together."""
+        last = rows
+        for k in range(most):
+            run = f"s{p}{k} AS (SELECT tree, place // 8 AS run, any_value(n) AS n, list(h ORDER BY place) AS hs FROM {p}{k} GROUP BY tree, place // 8)"
+            left, right = "array_to_string(hs[1:r.place % 8], '')", "array_to_string(hs[r.place % 8 + 2:], '')"
+            parts.append(run)
+            parts.append(f"{start}{k} AS (SELECT r.* EXCLUDE (place, node, sib), r.place // 8 AS place, CASE WHEN n = 1 THEN node ELSE sha256({left} || node || {right}) END AS node, sib || CASE WHEN n = 1 THEN '' ELSE {left} || {right} END AS sib FROM {last} r JOIN s{p}{k} s ON r.tree = s.tree AND r.place // 8 = s.run)")
+            last = f"{start}{k}"
+        return last
+
+    low = levels("a", "SELECT tree, place, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM d")
+    top = levels("b", f"SELECT '' AS tree, row_number() OVER (ORDER BY tree) - 1 AS place, h, count(*) OVER () AS n, tree AS name FROM {low}")
+    parts.append("f AS (SELECT doc_id, leaf, tree, place, now AS node, '' AS sib FROM d)")
+    done = up("a", "f", "u")
+    parts.append(f"g AS (SELECT x.doc_id, x.leaf, b0.h AS subroot, '' AS tree, b0.place, x.node, x.sib FROM {done} x JOIN b0 ON b0.name = x.tree)")
+    done = up("b", "g", "v")
+    return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, {top}.h AS root, sha256(sib) AS proof_sha256, node AS folded_root, node = {top}.h AS verified FROM {done} CROSS JOIN {top}"
+
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": _EXACT, "op5_decontamination": _CONTAMINATION, "op11_merkle_manifest": _manifest_sql()}
