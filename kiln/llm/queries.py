@@ -15,6 +15,7 @@ from kiln.llm.decontaminate import contamination
 from kiln.llm.exact_dedup import exact_dedup
 from kiln.llm.language_id import language_id
 from kiln.llm.packing import pack
+from kiln.llm.periodic import periodic_runs
 from kiln.llm.secrets import secret_scan
 from kiln.llm.simhash import near_duplicates
 from kiln.llm.substring_dedup import substring_dedup
@@ -81,7 +82,25 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_array_dedup, op3_language_id, op4_token_counts, op5_decontamination, op6_packing, op7_compact_windows, op8_simhash, op9_secret_scan, op10_toxicity, op11_merkle_manifest)}
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's runs; those whose id has a crc32 divisible by 10 are made periodic from some word on."""
+    docs = table(spark, sf_dir, "documents")
+    hashed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    g, words = F.floor(hashed / 10), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    first = lambda w: g % F.size(w)
+    period = lambda w: 1 + F.floor((F.size(w) - first(w)) / (3 + g % 8))
+    # Each of the three is bound once for all words of a document.
+    bound = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    repeated = bound(words, lambda w: bound(first(w), lambda a: bound(period(w), lambda p: F.array_join(F.transform(w, lambda x, i: F.when(i < a, x).otherwise(F.get(w, (a + (i - a) % p).cast("int")))), " "))))
+    text = F.when((hashed % 10 == 0) & F.col("text").rlike(r"[^\x20\x09-\x0D]"), repeated).otherwise(F.col("text"))
+    runs = periodic_runs(docs.select("doc_id", text.alias("text")))
+    best = F.get(F.array_sort("runs", lambda x, y: F.when(x["length"] != y["length"], F.signum(y["length"] - x["length"]).cast("int")).when(x["start"] != y["start"], F.signum(x["start"] - y["start"]).cast("int")).otherwise(F.signum(x["period"] - y["period"]).cast("int"))), F.lit(0))
+    listed = F.array_join(F.transform("runs", lambda x: F.concat(F.concat_ws(",", x["start"].cast("string"), x["length"].cast("string"), x["period"].cast("string")), F.lit("\n"))), "")
+    runs = runs.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(listed.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+    return runs.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_array_dedup, op3_language_id, op4_token_counts, op5_decontamination, op6_packing, op7_compact_windows, op8_simhash, op9_secret_scan, op10_toxicity, op11_merkle_manifest, op13_periodic_runs)}
 
 _EXACT = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
