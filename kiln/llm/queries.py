@@ -16,6 +16,7 @@ from kiln.llm.exact_dedup import exact_dedup
 from kiln.llm.language_id import language_id
 from kiln.llm.packing import pack
 from kiln.llm.periodic import periodic_runs
+from kiln.llm.quality_rules import judged
 from kiln.llm.secrets import secret_scan
 from kiln.llm.simhash import near_duplicates
 from kiln.llm.substring_dedup import substring_dedup
@@ -82,6 +83,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", proof.alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures and verdict of every document; hosts are sources."""
+    return judged(table(spark, sf_dir, "documents")).drop("host", "content", "removed")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's runs; those whose id has a crc32 divisible by 10 are made periodic from some word on."""
     docs = table(spark, sf_dir, "documents")
@@ -100,7 +106,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_array_dedup, op3_language_id, op4_token_counts, op5_decontamination, op6_packing, op7_compact_windows, op8_simhash, op9_secret_scan, op10_toxicity, op11_merkle_manifest, op13_periodic_runs)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_exact_dedup, op2_suffix_array_dedup, op3_language_id, op4_token_counts, op5_decontamination, op6_packing, op7_compact_windows, op8_simhash, op9_secret_scan, op10_toxicity, op11_merkle_manifest, op12_quality_rules, op13_periodic_runs)}
 
 _EXACT = r"""
 WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS norm FROM documents),
@@ -160,4 +166,18 @@ def _manifest_sql(most: int = 8) -> str:
     return f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, {top}.h AS root, sha256(sib) AS proof_sha256, node AS folded_root, node = {top}.h AS verified FROM {done} CROSS JOIN {top}"
 
 
-ORACLES: dict[str, str] = {"op1_exact_dedup": _EXACT, "op5_decontamination": _CONTAMINATION, "op11_merkle_manifest": _manifest_sql()}
+_QUALITY = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, source, t, unnest(string_split(t, chr(10))) AS line FROM d),
+n AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS k, translate(array_to_string(regexp_extract_all(line, '[^\x20\x09-\x0D]+'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ123456789', 'abcdefghijklmnopqrstuvwxyz000000000') AS norm FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dup AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines FROM n GROUP BY doc_id),
+f AS (SELECT c.source, norm FROM (SELECT source, norm, count(DISTINCT t) AS docs FROM n GROUP BY source, norm) c JOIN (SELECT source, count(DISTINCT t) AS host_docs FROM d GROUP BY source) h ON c.source IS NOT DISTINCT FROM h.source WHERE docs > 10 AND docs > host_docs * 0.05::DOUBLE),
+gone AS (SELECT doc_id, sum(k)::BIGINT AS n_removed_words FROM n JOIN f ON n.source IS NOT DISTINCT FROM f.source AND n.norm = f.norm GROUP BY doc_id),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, x) AS c FROM win) WHERE c > 1),
+rep AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM twice) GROUP BY doc_id),
+base AS (SELECT d.doc_id, len(w) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_removed_words, 0) AS n_removed_words FROM d LEFT JOIN dup USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN gone USING (doc_id))
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 2 * n_removed_words <= n_words AS kept FROM base
+"""
+
+ORACLES: dict[str, str] = {"op1_exact_dedup": _EXACT, "op5_decontamination": _CONTAMINATION, "op11_merkle_manifest": _manifest_sql(), "op12_quality_rules": _QUALITY}
