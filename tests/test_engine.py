@@ -90,14 +90,6 @@ def test_lsa_matches_the_plain_formula(spark, abc):
     assert dict(got["q1"]) == pytest.approx({f"d{i + 1}": x for i, x in enumerate(want)}, abs=1e-5)
 
 
-def test_lsa_distributed_is_the_same(spark, abc, monkeypatch):
-    q = spark.createDataFrame([("q1", "bb cc"), ("q2", "dd")], "qid string, text string")
-    want = found(lsa.search(abc, q, 3))
-    monkeypatch.setattr(lsa, "DUAL_DOCS", 0)
-    got = found(lsa.search(abc, q, 3))
-    assert {k: dict(v) for k, v in got.items()} == {k: pytest.approx(dict(v), abs=1e-5) for k, v in want.items()}
-
-
 def test_lsa_model_is_kept_with_its_snapshot(spark):
     docs = spark.createDataFrame([(1, "aa bb"), (2, "bb cc"), (3, "dd")], "doc_id long, text string")
     index = Index(docs, order_col="doc_id", keep=True)
