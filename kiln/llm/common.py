@@ -11,7 +11,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Texts are worked on in slices of about this many characters, so that memory does not follow the batch size; rows of a batch.
@@ -51,6 +51,15 @@ def few(df: DataFrame, limit: int) -> DataFrame:
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
 
 
+def numbered(docs: DataFrame, col: str) -> DataFrame:
+    """(col, number): the distinct values that aren't null, numbered from 0 as they sort; by a range shuffle and counts per range."""
+    ids = materialize(docs.select(col).where(F.col(col).isNotNull()).distinct().repartitionByRange(col).sortWithinPartitions(col).withColumn("number", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("number", 33).alias("part")
+    parts = ids.groupBy(part).agg(F.min("number").alias("first"), F.count("*").alias("n")).withColumn("all", F.lit(0))
+    before = F.sum("n").over(Window.partitionBy("all").orderBy("part")) - F.col("n") - F.col("first")  # a row for each range
+    return ids.withColumn("part", part).join(F.broadcast(parts.select("part", before.alias("shift"))), "part").select(col, (F.col("number") + F.col("shift")).alias("number"))
+
+
 def drop_materialized(keep: int = 0) -> None:
     """Delete what materialize() wrote; results that were not read yet need it, so only at the end of a session."""
     while len(_made) > keep:

@@ -17,9 +17,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from kiln.llm.bwt import LONGEST, build
-from kiln.llm.common import materialize, slices, tidy
+from kiln.llm.common import few, materialize, numbered, slices, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -38,7 +39,7 @@ _MIX = 0xBF58476D1CE4E5B9
 #: A segment: anchor, content, document (id and hash of the text), first start, number of stretches.
 SEGMENT = np.dtype([("key", "<u8"), ("seg", "<u8"), ("doc", "<i8"), ("tie", "<u4"), ("start", "<u8"), ("n", "<u2")])
 SPAN = np.dtype([("doc", "<i8"), ("tie", "<u4"), ("start", "<u8"), ("n", "<u8")])
-_NONE = np.iinfo(np.int64).max
+_NAMELESS = 1 << 62
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -121,7 +122,16 @@ def _spans(x: np.ndarray) -> np.ndarray:
 
 
 def _identity(keys: list, texts: list[bytes]) -> list[tuple[int, int]]:
-    return [(_NONE if k is None else k, xxhash.xxh32_intdigest(t)) for k, t in zip(keys, texts, strict=True)]
+    """Number and tie of documents: 32 bits of the text's hash; a document without an id is numbered by the other bits,
+    behind all others. `_identified` does the same in columns."""
+    hashes = (xxhash.xxh64_intdigest(t, 42) for t in texts)
+    return [(h >> 2 | _NAMELESS if k is None else k, h & 0xFFFFFFFF) for k, h in zip(keys, hashes, strict=True)]
+
+
+def _identified(docs: DataFrame) -> DataFrame:
+    """docs (doc_id, text) with doc and tie, by which each text of an id is found on its own."""
+    h = F.xxhash64(F.coalesce("text", F.lit("")))
+    return docs.withColumn("doc", F.coalesce("doc_id", F.shiftrightunsigned(h, 2).bitwiseOR(F.lit(_NAMELESS)))).withColumn("tie", h.bitwiseAND(F.lit(0xFFFFFFFF)))
 
 
 def _utf8(texts: list[str | None]) -> list[bytes]:
@@ -208,8 +218,7 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
 
     wanted = settled_.where("kind > 1").select("kind", "blob").mapInArrow(tidy(as_segments), "doc long, tie long, key long, start long, n int, hot boolean")
     wanted = wanted.groupBy("doc", "tie").agg(F.collect_list(F.struct("key", "start", "n", "hot")).alias("list"))
-    texts = docs.select(F.coalesce("doc_id", F.lit(_NONE)).alias("doc"), "text")
-    strings = texts.join(wanted, "doc").select("doc", "tie", "text", "list")
+    strings = _identified(docs).join(wanted, ["doc", "tie"]).select("doc", "tie", "text", "list")
 
     # Strings to compare; those of hot anchors are single stretches, dealt out by their content. What is known to be later
     # already goes through the same shuffle without its bytes.
@@ -221,8 +230,6 @@ def repeated(docs: DataFrame, length: int = LENGTH, hot: int = HOT, gram: int =
             best: dict[bytes, tuple] = {}  # of the single stretches of this batch, the earliest of each content
             rows = []
             for doc, tie, text, list_ in zip(x["doc"], x["tie"], _utf8(x["text"]), x["list"], strict=True):
-                if xxhash.xxh32_intdigest(text) != tie:
-                    continue
                 for r in list_:
                     if not r["hot"]:
                         rows.append((r["key"], False, doc, tie, r["start"], r["n"], text[r["start"] : r["start"] + r["n"] - 1 + length]))
@@ -348,16 +355,20 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
 
     Texts are UTF-8; null counts as empty. A byte goes if a string of `length` bytes over it also starts earlier: in
     a document of smaller id, or in the same one before. Texts shorter than `length` stay as they are. Rows that
-    repeat both id and text are one document (both are treated alike); of rows with one id and different texts, the
-    hash of the text decides; null ids come last. An empty table gives an empty result. Other columns are not read.
+    repeat both id and text are one document (both are treated alike); of rows with one id and different texts, and of
+    rows without an id, which come last, the hash of the text decides. Ids that aren't numbers are compared as they sort. An empty table gives an empty result. Other columns are not read.
     """
     if not 8 <= length <= LONGEST:
         raise ValueError(f"length must be 8 to {LONGEST}")
-    source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    source, numbers = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), None
+    if not isinstance(source.schema["doc_id"].dataType, T.IntegralType):
+        numbers = numbered(source, "doc_id")
+        source = source.withColumnRenamed("doc_id", "named").join(few(numbers, 500_000), F.col("named") == F.col("doc_id"), "left").select(F.col("number").alias("doc_id"), "text", "named")
+    else:
+        source = source.withColumn("doc_id", F.col("doc_id").cast("long"))
     gram = max(8, min(GRAM, length // 3))
-    spans = repeated(source, length, hot, gram).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
-    spans = spans.groupBy("doc").agg(F.collect_list(F.struct("tie", "spans")).alias("of"))
-    joined = source.withColumn("doc", F.coalesce("doc_id", F.lit(_NONE))).join(spans, "doc", "left").select("doc_id", "text", "of")
+    spans = repeated(source.select("doc_id", "text"), length, hot, gram).groupBy("doc", "tie").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    joined = _identified(source).join(spans, ["doc", "tie"], "left").select(F.col("named") if numbers is not None else "doc_id", "text", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -369,10 +380,7 @@ def substring_dedup(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id
         for batch in batches:
             out: dict[str, list] = {f.name: [] for f in arrow}
             for key, text, of in zip(batch.column(0).to_pylist(), _utf8(batch.column(1).to_pylist()), batch.column(2).to_pylist(), strict=True):
-                spans = []
-                if of:
-                    tie = xxhash.xxh32_intdigest(text)
-                    spans = sorted((s["start"], s["start"] + s["n"] - 1 + length) for x in of if x["tie"] == tie for s in x["spans"])
+                spans = sorted((s["start"], s["start"] + s["n"] - 1 + length) for s in of or [])
                 runs: list[list[int]] = []
                 for a, b in spans:
                     if runs and a <= runs[-1][1]:
