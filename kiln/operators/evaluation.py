@@ -3,13 +3,18 @@
 from __future__ import annotations
 
 import time
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.functions.matching import Words
 from kiln.operators.ranked import small
 
 CUTOFFS = (10, 20, 50)
+#: Passages of one or two words that are looked for in one go.
+SHORT_PASSAGES = 50_000
 
 
 def timed(run: DataFrame, n_queries: int) -> tuple[DataFrame, float, float]:
@@ -54,7 +59,8 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
 
     A word inside a passage, between white space, is a word of each text that holds it. So the longest such word of
     each passage is looked up among the distinct words of the documents, and what is found is verified. Passages of
-    fewer than three words have no such word; they are tested against every text.
+    fewer than three words have no such word; they are looked for in every text by an automaton of up to SHORT_PASSAGES of
+    them at a time. Repeated rows give one; null and empty passages are in no document.
     """
     parts = passages.where("text is not null and text <> ''").select("qid", F.col("text").alias("passage"), F.split("text", r"\s+").alias("w"))
     long = parts.where("size(w) > 2").select("qid", "passage", F.expr("array_max(transform(slice(w, 2, size(w) - 2), x -> named_struct('n', length(x), 'x', x))).x").alias("word"))
@@ -64,7 +70,32 @@ def containing(docs: DataFrame, passages: DataFrame) -> DataFrame:
     found = pairs.join(docs, "doc_id").join(small(long.select("qid", "passage")), "qid").where(F.contains("text", F.col("passage"))).select("qid", "doc_id")
     if short.isEmpty():
         return found.distinct()
-    return found.unionByName(docs.join(small(short), F.contains("text", F.col("passage"))).select("qid", "doc_id")).distinct()
+    n = short.count()
+    for part in range(-(-n // SHORT_PASSAGES)):
+        mine = short if n <= SHORT_PASSAGES else short.where(F.pmod(F.xxhash64("qid", "passage"), F.lit(-(-n // SHORT_PASSAGES))) == part)
+        found = found.unionByName(_short(docs, mine))
+    return found.distinct()
+
+
+def _short(docs: DataFrame, passages: DataFrame) -> DataFrame:
+    """(qid, doc_id) for few short passages, which are sent to the tasks."""
+    listed = passages.select("qid", "passage").collect()  # about SHORT_PASSAGES, of two words each
+    kinds = [passages.schema["qid"].dataType.simpleString(), docs.schema["doc_id"].dataType.simpleString()]
+    asked: dict[str, list] = {}
+    for r in listed:
+        asked.setdefault(r["passage"], []).append(r["qid"])
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = Words(asked)
+        for b in batches:
+            qids, at = [], []
+            for i, text in enumerate(b.column(1).to_pylist()):
+                for x in {text[s:e] for s, e in words.matches(text)} if text else ():
+                    qids += asked[x]
+                    at += [i] * len(asked[x])
+            yield pa.RecordBatch.from_arrays([pa.array(qids), b.column(0).take(pa.array(at, pa.int64()))], names=["qid", "doc_id"]) if at else pa.RecordBatch.from_arrays([pa.nulls(0), b.column(0).slice(0, 0)], names=["qid", "doc_id"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"qid {kinds[0]}, doc_id {kinds[1]}")
 
 
 def trec_lines(run: DataFrame, method: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kiln.functions.matching import marked
+
 CUT = 5000
 MARK = "[...]"
 
@@ -28,10 +30,12 @@ def _literal(word: str) -> str:
 
 
 def highlight(text: Column, words: list[str], before: str = "<mark>", after: str = "</mark>") -> Column:
-    """Every occurrence of each word, in any case and inside other words too, between before and after."""
-    for word in words:
-        text = F.regexp_replace(text, _literal(word), f"{before}$0{after}")
-    return text
+    """What the words cover, in any case and inside other words too, between before and after.
+
+    Occurrences are looked for in the text as it is, so marks are never found themselves; where words overlap or touch,
+    there is one mark around them. Empty words are left out; null text stays null.
+    """
+    return marked(text, words, before, after)
 
 
 def highlight_count(text: Column, words: list[str]) -> Column:

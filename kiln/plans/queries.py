@@ -390,6 +390,13 @@ def highlight_counts(spark, sf):
     return documents(spark, sf).select("doc_id", present.highlight_count(F.col("text"), ["th", "É"]).cast("long").alias("n"))
 
 
+@query("SELECT doc_id, md5(regexp_replace(text, '(?i)((?:the|en|th|é|en)+)', '[\\1]', 'g')) AS digest, len(regexp_extract_all(text, '(?i)(?:the|en|th|é)+')) AS marks FROM documents")
+def highlight_text(spark, sf):
+    marked = present.highlight(F.col("text"), ["th", "É", "the", "EN", ""], "[", "]")
+    d = documents(spark, sf).select("doc_id", "text", marked.alias("marked"))
+    return d.select("doc_id", F.md5(F.col("marked").cast("binary")).alias("digest"), ((F.length("marked") - F.length("text")) / 2).cast("long").alias("marks"))
+
+
 # -- files: each query writes its files in a folder of its own and reads them back
 
 

@@ -250,15 +250,3 @@ def test_readers_and_sinks(spark, tmp_path):
     for _ in range(2):
         sinks.append_jsonl(docs, str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 2
-
-
-def test_streaming_ingest(spark, tmp_path):
-    from kiln.sources.readers import ARTICLE
-    from kiln.streaming.ingest import ingest, stream_documents
-
-    (tmp_path / "in").mkdir()
-    (tmp_path / "in" / "1.jsonl").write_text('{"id": "a", "text": "one two"}\n{"id": "a", "text": "again"}\n{"id": "b", "text": "two"}\n')
-    catalog = IndexCatalog()
-    catalog.register("s", Index(spark.createDataFrame([("a", "old words")], "id string, text string").select("id", *(F.lit(None).cast("string").alias(c) for c in ARTICLE.fieldNames() if c not in ("id", "text")), "text"), id_col="id"))
-    ingest(stream_documents(spark, str(tmp_path / "in")), catalog, "s", str(tmp_path / "store")).awaitTermination()
-    assert sorted(r.doc_id for r in catalog.get("s").universe.collect()) == ["a", "b"]
