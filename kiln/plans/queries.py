@@ -369,6 +369,42 @@ def nested_extract(spark, sf):
     return web.nested(read_table(spark, sf, "pages"), "<li>.*?</li>", {"target": 'href="([^"]*)"', "label": ">([^<]+)</a>"})
 
 
+_PATHS = {"title": '//h1[@class="heading"] | //article/h1 | //title', "language": "/html/@lang", "author": '//a[contains(@class, "author")]'}
+
+
+@query("SELECT page_id, url, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS title, regexp_extract(html, '<html lang=.([a-z]*)', 1) AS language, '' AS author FROM pages")
+def fields_by_path(spark, sf):
+    return web.fields_by_path(read_table(spark, sf, "pages"), _PATHS, "//article")
+
+
+@query(r"""WITH r AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>.*?</li>', 0)) AS part, generate_subscripts(regexp_extract_all(html, '<li>.*?</li>', 0), 1) - 1 AS pos FROM pages) SELECT page_id, pos, regexp_extract(part, 'href="([^"]*)"', 1) AS target, regexp_extract(part, '>([^<]+)</a>', 1) AS label FROM r""")
+def nested_by_path(spark, sf):
+    return web.nested_by_path(read_table(spark, sf, "pages"), "//nav//li", {"target": ".//a/@href", "label": "./a"})
+
+
+@query("SELECT page_id, regexp_extract(html, '<html lang=.([a-z]*)', 1) AS language, len(regexp_extract_all(html, '<p>')) AS paragraphs, len(regexp_extract_all(html, '<li>')) AS in_nav FROM pages")
+def html_tree(spark, sf):
+    n = web.html_nodes(read_table(spark, sf, "pages")).persist()
+    nav = n.where("tag = 'nav'").select("page_id", F.col("node").alias("a"), F.col("last").alias("b"))
+    inner = n.where("tag = 'li'").join(nav, "page_id").where("node > a and node <= b").groupBy("page_id").agg(F.count("*").alias("in_nav"))
+    own = n.groupBy("page_id").agg(F.max(F.when(F.col("tag") == "html", F.col("attributes")["lang"])).alias("language"), F.count_if(F.col("tag") == "p").alias("paragraphs"))
+    return own.join(inner, "page_id", "left").select("page_id", "language", "paragraphs", F.coalesce("in_nav", F.lit(0)).cast("long").alias("in_nav"))
+
+
+@query(f"WITH {_LINKS}, n AS (SELECT url, page_id, pos FROM links QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos) = 1), stored AS (SELECT DISTINCT n.url, html FROM n JOIN pages p ON p.page_id = length(n.url)) SELECT url, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS title, regexp_extract(html, '<html lang=.([a-z]*)', 1) AS language FROM stored")
+def crawl_extract_append(spark, sf):
+    """Links of all pages, each once; what is stored under an address (here the page numbered by its length) is extracted
+    and appended to a file of records."""
+    pages, path = read_table(spark, sf, "pages"), scratch(spark, "articles")
+    frontier = web.first_seen(web.links(pages, _BASE))
+    stored = frontier.select("url").distinct().join(pages.select("page_id", "html"), F.length("url") == F.col("page_id")).select("url", "html")
+    for part in range(2):  # the second run finds some addresses visited
+        seen = readers.read_jsonl(spark, path).select("url") if part else None
+        mine = frontier if part else frontier.where("page_id % 2 = 0")
+        sinks.append_jsonl(web.crawl_articles(mine, stored, {"title": _PATHS["title"], "author": "/html/@lang"}, seen), path)
+    return readers.read_jsonl(spark, path).select("url", "title", F.col("author").alias("language"))
+
+
 _ADDRESS = "'https://' || CASE page_id % 4 WHEN 0 THEN 'm' ELSE 'www' END || '.example.org/' || CASE page_id % 3 WHEN 0 THEN 'blog' ELSE 'news' END || '/' || CASE page_id % 5 WHEN 0 THEN 'Upper' ELSE 'a-slug' END || '-' || page_id"
 
 

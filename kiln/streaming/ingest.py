@@ -59,4 +59,15 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, id_col: str = "id",
         if len(at.segments) >= merge_at:
             here.merge()
 
+    # Ids are forgotten when data comes; batches without any, only to see whether time has passed, would go on for ever.
+    key, conf = "spark.sql.streaming.noDataMicroBatches.enabled", stream.sparkSession.conf
+    before = conf.get(key)
+    conf.set(key, "false")
+    try:
+        return _started(stream, add, checkpoint)
+    finally:
+        conf.set(key, before)
+
+
+def _started(stream: DataFrame, add, checkpoint: str) -> StreamingQuery:
     return stream.writeStream.outputMode("update").foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
