@@ -372,7 +372,7 @@ def nested_extract(spark, sf):
 _PATHS = {"title": '//h1[@class="heading"] | //article/h1 | //title', "language": "/html/@lang", "author": '//a[contains(@class, "author")]'}
 
 
-@query("SELECT page_id, url, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS title, regexp_extract(html, '<html lang=.([a-z]*)', 1) AS language, '' AS author FROM pages")
+@query("SELECT page_id, url, replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&amp;', '&') AS title, regexp_extract(html, '<html lang=.([a-z]*)', 1) AS language, '' AS author FROM pages")
 def fields_by_path(spark, sf):
     return web.fields_by_path(read_table(spark, sf, "pages"), _PATHS, "//article")
 
@@ -391,7 +391,7 @@ def html_tree(spark, sf):
     return own.join(inner, "page_id", "left").select("page_id", "language", "paragraphs", F.coalesce("in_nav", F.lit(0)).cast("long").alias("in_nav"))
 
 
-@query(f"WITH {_LINKS}, n AS (SELECT url, page_id, pos FROM links QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos) = 1), stored AS (SELECT DISTINCT n.url, html FROM n JOIN pages p ON p.page_id = length(n.url)) SELECT url, trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)) AS title, regexp_extract(html, '<html lang=.([a-z]*)', 1) AS language FROM stored")
+@query(f"WITH {_LINKS}, n AS (SELECT url, page_id, pos FROM links QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id, pos) = 1), stored AS (SELECT DISTINCT n.url, html FROM n JOIN pages p ON p.page_id = length(n.url)) SELECT url, replace(trim(regexp_extract(html, '<h1>([^<]*)</h1>', 1)), '&amp;', '&') AS title, regexp_extract(html, '<html lang=.([a-z]*)', 1) AS language FROM stored")
 def crawl_extract_append(spark, sf):
     """Links of all pages, each once; what is stored under an address (here the page numbered by its length) is extracted
     and appended to a file of records."""
@@ -426,9 +426,9 @@ def highlight_counts(spark, sf):
     return documents(spark, sf).select("doc_id", present.highlight_count(F.col("text"), ["th", "É"]).cast("long").alias("n"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(text, '(?i)((?:the|en|th|é|en)+)', '[\\1]', 'g')) AS digest, len(regexp_extract_all(text, '(?i)(?:the|en|th|é)+')) AS marks FROM documents")
+@query("SELECT doc_id, md5(regexp_replace(text, '(?i)((?:the|ou|th|é)+)', '[\\1]', 'g')) AS digest, len(regexp_extract_all(text, '(?i)(?:the|ou|th|é)+')) AS marks FROM documents")
 def highlight_text(spark, sf):
-    marked = present.highlight(F.col("text"), ["th", "É", "the", "EN", ""], "[", "]")
+    marked = present.highlight(F.col("text"), ["th", "É", "the", "OU", ""], "[", "]")
     d = documents(spark, sf).select("doc_id", "text", marked.alias("marked"))
     return d.select("doc_id", F.md5(F.col("marked").cast("binary")).alias("digest"), ((F.length("marked") - F.length("text")) / 2).cast("long").alias("marks"))
 
