@@ -55,8 +55,11 @@ def search(index: Index, queries: DataFrame, k: int = 5, normalize: bool = True,
     else:
         dots = dots.join(length, "qid").select("qid", "doc_id", "doc_ord", F.coalesce(F.try_divide("s", F.col("qn") * F.col("norm")), F.lit(0.0)).alias("s"))
     scored = dots.select("qid", "doc_id", "doc_ord", F.round("s", DIGITS).alias("score"))
-    found = top(scored, k)
-    without = queries.select(F.col(qid_col).alias("qid")).distinct().join(finding, "qid", "left_anti")
+    return completed(index, queries.select(F.col(qid_col).alias("qid")).distinct().join(finding, "qid", "left_anti"), top(scored, k), k)
+
+
+def completed(index: Index, without: DataFrame, found: DataFrame, k: int) -> DataFrame:
+    """found, and for the queries (qid) that found nothing the first k documents with score 0."""
     first = index.tokenised.select("doc_id", "doc_ord").orderBy("doc_ord").limit(k)
     w = Window.partitionBy("qid").orderBy("doc_ord")
     fallback = without.crossJoin(F.broadcast(first)).select("qid", "doc_id", F.lit(0.0).alias("score"), F.row_number().over(w).alias("rank"))  # k rows a query
