@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -11,8 +10,10 @@ from pyspark.sql import functions as F
 
 from kiln.functions import text as tx
 from kiln.functions import words
-from kiln.operators import boolean, dense, evaluation, lsa, present, ranked, report, web
+from kiln.operators import boolean, dense, evaluation, lsa, present, pruned, ranked, report, web
 from kiln.operators.index import Index, IndexCatalog, pretty_vectors, tokenise
+from kiln.operators.spectral import shared_folder
+from kiln.operators.store import Store
 from kiln.sources import readers, sinks
 from kiln.sources.readers import read_table
 
@@ -265,6 +266,36 @@ def bool_hit_counts(spark, sf):
     return hits.agg(F.count("*").alias("total"), F.least(F.count("*"), F.lit(25)).alias("shown"))
 
 
+_BATCH_TERMS = "SELECT term, row_number() OVER (ORDER BY df DESC, term) - 1 AS i FROM vocab QUALIFY i < 120"
+
+
+@query(f"WITH {_VOCAB}, bp AS (SELECT DISTINCT doc_id::VARCHAR AS doc_id, term FROM tf), u AS (SELECT DISTINCT doc_id FROM bp), w AS ({_BATCH_TERMS}), p AS (SELECT a.i // 3 AS qid, a.term AS a, b.term AS b, c.term AS c FROM w a JOIN w b ON b.i = a.i + 1 JOIN w c ON c.i = a.i + 2 WHERE a.i % 3 = 0) SELECT qid, doc_id FROM p JOIN bp ON bp.term = p.a WHERE (doc_id, b) IN (SELECT doc_id, term FROM bp) AND (doc_id, c) NOT IN (SELECT doc_id, term FROM bp)")
+def bool_batch(spark, sf):
+    """40 queries over the 120 most frequent terms, in one job: a AND b AND NOT c."""
+    index = index_of(spark, sf)
+    terms = [r["term"] for r in index.vocab.orderBy(F.desc("df"), "term").limit(120).collect()]
+    return boolean.search_many(index, {i // 3: "{} AND {} AND NOT {}".format(*terms[i : i + 3]) for i in range(0, len(terms) - 2, 3)})
+
+
+@query(f"WITH {_run_sql(K)} SELECT qid, rank, doc_id, score FROM run")
+def ranked_pruned(spark, sf):
+    """Over an index on storage, whose documents came in two additions."""
+    store, d = Store.create(spark, scratch(spark, "index")), documents(spark, sf).select("doc_id", "text")
+    store.add(d.where("doc_id % 10 <> 3"))
+    return pruned.search(store.add(d)[0], items(spark, sf), K)
+
+
+@query(f"WITH {_VOCAB} SELECT term, df, round(idf, 6) AS idf FROM vocab")
+def stored_vocabulary(spark, sf):
+    """Three additions, the first two merged, opened again from storage."""
+    store, d = Store.create(spark, scratch(spark, "index")), documents(spark, sf).select("doc_id", "text")
+    store.add(d.where("doc_id % 5 < 2"))
+    store.add(d.where("doc_id % 5 < 4"))
+    store.merge()
+    store.add(d)
+    return Store.open(spark, store.path).index().vocab.select("term", "df", F.round("idf", 6).alias("idf"))
+
+
 # -- incremental
 
 
@@ -437,8 +468,7 @@ def highlight_text(spark, sf):
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="kiln-")
-    return f"{folder.rstrip('/')}/files/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/files/{name}-{uuid.uuid4().hex}"
 
 
 @query("SELECT line, CASE WHEN doc_id % 5 = 0 THEN 'wh_' || line ELSE doc_id::VARCHAR END AS id, title, digest FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS line, lang AS title, md5(text) AS digest FROM documents)")
