@@ -32,42 +32,52 @@ def vocabulary(name: str) -> str:
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row of its group that stays."""
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
 def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the 100-byte strings that also start earlier: counts and the digest of what is left."""
     return substring_dedup(table(spark, sf_dir, "documents"))
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's language, learned from the documents that aren't held out."""
     return language_id(table(spark, sf_dir, "documents"))
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by a public tokenizer."""
     return token_counts(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that are in a window of a benchmark item."""
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of at most 2,048 tokens."""
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
 def op7_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages that documents share nearly; a row for each link."""
     return near_passages(table(spark, sf_dir, "documents"))
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and component."""
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets of every document."""
     return secret_scan(table(spark, sf_dir, "documents"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's score, learned from the labels that aren't held out."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
