@@ -121,55 +121,74 @@ def _double(word: str) -> bool:
     return len(word) > 1 and word[-1] == word[-2] and _shape(word)[-1] == "c"
 
 
-def _cvc(word: str) -> bool:
-    return _shape(word)[-3:] == "cvc" and word[-1] not in "wxy"
+def _cvc(word: str, extended: bool = True) -> bool:
+    shape = _shape(word)
+    return shape[-3:] == "cvc" and word[-1] not in "wxy" or extended and shape == "vc"
 
 
 STEP2 = [tuple(x.split(":")) for x in "ational:ate tional:tion enci:ence anci:ance izer:ize abli:able alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble".split()]
 STEP3 = [tuple(x.split(":")) for x in "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:".split()]
 STEP4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize".split()
+#: What the extended variant has besides, and the words it stems by list.
+STEP2_MORE = [("bli", "ble"), ("fulli", "ful"), ("logi", "log")]
+STEMS = dict(x.split(":") for x in "sky:sky skies:sky dying:die lying:lie tying:tie news:news inning:inning innings:inning outing:outing outings:outing canning:canning cannings:canning howe:howe proceed:proceed exceed:exceed succeed:succeed".split())
+
+
+def _step2(w: str, extended: bool) -> str:
+    rules = [r for r in STEP2 if r[0] != "abli"] + STEP2_MORE if extended else STEP2
+    end, to = max(((a, b) for a, b in rules if w.endswith(a)), key=lambda x: len(x[0]), default=("", ""))
+    if not end:
+        return w
+    good = _measure(w[:-3] if end == "logi" else w[: -len(end)]) > 0
+    made = w[: -len(end)] + to if good else w
+    return _step2(made, extended) if good and extended and end == "alli" else made
 
 
 @functools.lru_cache(maxsize=200_000)
-def porter_stem(word: str) -> str:
+def porter_stem(word: str, extended: bool = True) -> str:
+    """The stem of a lower-case word; extended: with the list of STEMS, short words in -ies and -ied, y after consonants only,
+    and three more endings, else by the rules of 1980 alone."""
+    if extended and word in STEMS:
+        return STEMS[word]
     if len(word) <= 2 or not word.isascii() or not word.isalpha():
         return word
-    w = word
-    if w.endswith("sses") or w.endswith("ies"):
+    w, again = word, False
+    if extended and w.endswith("ies") and len(w) == 4:
+        w = w[:-1]
+    elif w.endswith(("sses", "ies")):
         w = w[:-2]
     elif w.endswith("s") and not w.endswith("ss"):
         w = w[:-1]
-    again = False
-    if w.endswith("eed"):
+    if extended and w.endswith("ied"):
+        w = w[:-1] if len(w) == 4 else w[:-2]
+    elif w.endswith("eed"):
         if _measure(w[:-3]) > 0:
             w = w[:-1]
     else:
-        for end in ("ed", "ing"):
-            if w.endswith(end):
-                if "v" in _shape(w[: -len(end)]):
-                    w, again = w[: -len(end)], True
-                break
+        end = next((x for x in ("ed", "ing") if w.endswith(x)), "")
+        if end and "v" in _shape(w[: -len(end)]):
+            w, again = w[: -len(end)], True
     if again:
         if w.endswith(("at", "bl", "iz")):
             w += "e"
         elif _double(w) and w[-1] not in "lsz":
             w = w[:-1]
-        elif _measure(w) == 1 and _cvc(w):
+        elif _measure(w) == 1 and _cvc(w, extended):
             w += "e"
-    if w.endswith("y") and "v" in _shape(w[:-1]):
+    if w.endswith("y") and (len(w) > 2 and _shape(w[:-1])[-1] == "c" if extended else "v" in _shape(w[:-1])):
         w = w[:-1] + "i"
-    for rules in (STEP2, STEP3):
-        end, to = max(((a, b) for a, b in rules if w.endswith(a)), key=lambda x: len(x[0]), default=("", ""))
-        if end and _measure(w[: -len(end)]) > 0:
-            w = w[: -len(end)] + to
+    w = _step2(w, extended)
+    end, to = max(((a, b) for a, b in STEP3 if w.endswith(a)), key=lambda x: len(x[0]), default=("", ""))
+    if end and _measure(w[: -len(end)]) > 0:
+        w = w[: -len(end)] + to
     end = max((a for a in STEP4 if w.endswith(a)), key=len, default="")
     if end and _measure(w[: -len(end)]) > 1 and (end != "ion" or w[-4:-3] in ("s", "t")):
         w = w[: -len(end)]
     if w.endswith("e"):
         m = _measure(w[:-1])
-        if m > 1 or m == 1 and not _cvc(w[:-1]):
+        if m > 1 or m == 1 and not _cvc(w[:-1], extended):
             w = w[:-1]
-    if w.endswith("ll") and _measure(w) > 1:
+    if w.endswith("ll") and _measure(w[:-1]) > 1:
         w = w[:-1]
     return w
 
@@ -183,14 +202,30 @@ def porter(s: pd.Series) -> pd.Series:
 DETACH = (("s", ""), ("ses", "s"), ("ves", "f"), ("xes", "x"), ("zes", "z"), ("ches", "ch"), ("shes", "sh"), ("men", "man"), ("ies", "y"))
 
 
-def lemmas(vocabulary: DataFrame, lexicon: DataFrame | None = None) -> DataFrame:
-    """(token, lemma): the shortest base form by the detachment rules that is itself a word.
+#: Nouns whose plural no rule gives.
+IRREGULAR = tuple(
+    tuple(x.split(":"))
+    for x in (
+        "children:child feet:foot geese:goose teeth:tooth mice:mouse lice:louse dormice:dormouse oxen:ox brethren:brother pence:penny dice:die "
+        "kine:cow cacti:cactus fungi:fungus nuclei:nucleus radii:radius stimuli:stimulus alumni:alumnus foci:focus loci:locus syllabi:syllabus "
+        "analyses:analysis axes:axis bases:basis crises:crisis diagnoses:diagnosis hypotheses:hypothesis oases:oasis parentheses:parenthesis theses:thesis "
+        "criteria:criterion phenomena:phenomenon data:datum bacteria:bacterium media:medium strata:stratum indices:index matrices:matrix vertices:vertex appendices:appendix larvae:larva antennae:antenna"
+    ).split()
+)
+
+
+def lemmas(vocabulary: DataFrame, lexicon: DataFrame | None = None, exceptions: DataFrame | None = None) -> DataFrame:
+    """(token, lemma): the base form of an exception, else the shortest one by the detachment rules that is itself a word.
 
-    lexicon (form): the words that count; by default the vocabulary itself, since no dictionary is at hand.
+    lexicon (form): the words that count; by default the vocabulary itself, since no dictionary is at hand. exceptions
+    (token, base): irregular forms, which need not be in the lexicon; by default those of IRREGULAR.
     """
     known = (vocabulary.select(F.col("token").alias("form")) if lexicon is None else lexicon.select("form")).distinct()
     rules = F.array(*(F.struct(F.lit(a).alias("end"), F.lit(b).alias("to")) for a, b in DETACH))
     tried = vocabulary.select("token", F.explode(rules).alias("r")).where("token like concat('%', r.end) and length(token) >= length(r.end)")
     tried = tried.where("not (token like '%ss' and r.end = 's')").select("token", F.expr("concat(substring(token, 1, length(token) - length(r.end)), r.to)").alias("form"))
     best = tried.join(known, "form").groupBy("token").agg(F.min(F.struct(F.length("form").alias("n"), "form")).alias("x"))
-    return vocabulary.join(best, "token", "left").select("token", F.coalesce("x.form", "token").alias("lemma"))
+    if exceptions is None:
+        exceptions = vocabulary.sparkSession.createDataFrame(list(IRREGULAR), "token string, base string")
+    irregular = exceptions.groupBy("token").agg(F.min("base").alias("base"))
+    return vocabulary.join(best, "token", "left").join(irregular, "token", "left").select("token", F.coalesce("base", "x.form", "token").alias("lemma"))
