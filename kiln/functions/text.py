@@ -22,21 +22,33 @@ STOP_WORDS = (
 #: Letters that fold to more than one, or that have no decomposition.
 FOLD_WORDS = {"ß": "ss", "æ": "ae", "Æ": "AE", "œ": "oe", "Œ": "OE", "þ": "th", "Þ": "Th"}
 _PLAIN = {"ø": "o", "Ø": "O", "ł": "l", "Ł": "L", "đ": "d", "Đ": "D", "ð": "d", "Ð": "D", "ı": "i"}
-
-
-def _fold_pairs() -> tuple[str, str]:
-    """Latin letters and small numbers whose compatibility decomposition begins with one ASCII character and marks."""
-    a, b = "", ""
-    for cp in (*range(0xA0, 0x250), *range(0x1E00, 0x1F00)):
+#: Cyrillic and Greek letters and punctuation with one ASCII character each, and those with several.
+_PLAIN |= dict(zip("абвгдезийклмнопрстуфыэ", "abvgdeziiklmnoprstufye", strict=True)) | dict(zip("αβγδεζηικλμνοπρσςτυω", "abgdezeiklmnoprsstuo", strict=True))
+_PLAIN |= {"‐": "-", "‑": "-", "‒": "-", "–": "-", "‘": "'", "’": "'", "‛": "'", "“": '"', "”": '"', "×": "x"}
+FOLD_MORE = {"ж": "zh", "х": "kh", "ц": "ts", "ч": "ch", "ш": "sh", "щ": "shch", "ю": "iu", "я": "ia", "ё": "io", "ъ": "'", "ь": "'", "θ": "th", "ξ": "x", "φ": "ph", "χ": "kh", "ψ": "ps"}
+FOLD_MORE |= {k.upper(): v[0].upper() + v[1:] for k, v in FOLD_MORE.items()} | {"—": "--", "…": "...", "„": ",,"}
+_PLAIN |= {k.upper(): v.upper() for k, v in _PLAIN.items() if k.isalpha() and k.upper() != k and len(k.upper()) == 1 and k not in "ıς"}
+
+
+def _fold_pairs() -> tuple[str, str, dict[str, str]]:
+    """(from, to): characters of any script whose compatibility decomposition is one ASCII character and marks, or a letter
+    that folds to one; and those (ligatures, numerals, signs) that decompose to a few."""
+    a, b, more = "", "", dict(FOLD_MORE)
+    for cp in (*range(0xA0, 0x3400), *range(0xFB00, 0xFB07), *range(0xFF01, 0xFF5F)):
         c = chr(cp)
+        if c in FOLD_WORDS or c in more:
+            continue
         base = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
-        to = _PLAIN.get(c) or (base[0] if len(base) == 1 and base[0] < "\x7f" and base[0] != " " else "")
-        if to and c not in FOLD_WORDS:
-            a, b = a + c, b + to
-    return a, b
+        to = _PLAIN.get(c) or "".join(_PLAIN.get(x, x) for x in base)
+        if to.isascii() and to.strip() and to != c:
+            if len(to) == 1:
+                a, b = a + c, b + to
+            elif cp >= 0x2100 and to.isalnum():
+                more[c] = to
+    return a, b, more
 
 
-FOLD_FROM, FOLD_TO = _fold_pairs()
+FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _fold_pairs()
 #: Tags, tokens and the punctuation taken off their ends.
 TAG = r"<[^>]+>"
 TOKEN = r"(?:https?://\S+)|(?:[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*)"
@@ -72,9 +84,14 @@ def strip_tags(c: Column) -> Column:
 
 
 def ascii_fold(c: Column) -> Column:
+    """Characters one for one by a table; those with several letters for one are put in only where a text has any."""
     for a, b in FOLD_WORDS.items():
         c = F.replace(c, F.lit(a), F.lit(b))
-    return F.translate(c, FOLD_FROM, FOLD_TO)
+    folded = F.translate(c, FOLD_FROM, FOLD_TO)
+    table = F.create_map(*(F.lit(x) for pair in FOLD_SEVERAL.items() for x in pair))
+    spelled = lambda t: F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    several = "[" + "".join(FOLD_SEVERAL) + "]"
+    return F.get(F.transform(F.array(folded), lambda t: F.when(t.rlike(several), spelled(t)).otherwise(t)), F.lit(0))
 
 
 def raw_tokens(c: Column) -> Column:
