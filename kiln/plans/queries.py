@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kiln.functions import text as tx
 from kiln.functions import words
-from kiln.operators import boolean, dense, evaluation, lsa, present, pruned, ranked, report, web
+from kiln.operators import boolean, clustered, dense, evaluation, lsa, present, pruned, ranked, report, web
 from kiln.operators.index import Index, IndexCatalog, pretty_vectors, tokenise
 from kiln.operators.spectral import shared_folder
 from kiln.operators.store import Store
@@ -360,6 +360,12 @@ def dense_topk(spark, sf):
     return dense.search(e, e.where("vec_id % 50 = 0"), K)
 
 
+@query(f"WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS qid, d.vec_id AS doc_id, round(list_inner_product(q.v, d.v), 6) AS score FROM e q, e d WHERE q.vec_id % 50 = 0) SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s QUALIFY rank <= {K}")
+def dense_clustered(spark, sf):
+    e = read_table(spark, sf, "embeddings")
+    return clustered.search(clustered.build(e), e.where("vec_id % 50 = 0"), K)
+
+
 @query()
 def lsa_topk(spark, sf):
     return lsa.search(index_of(spark, sf), items(spark, sf), K)
