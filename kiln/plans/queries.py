@@ -137,23 +137,46 @@ def text_concat(spark, sf):
     return d.select("doc_id", F.md5(tx.joined_text(F.col("source"), F.when(F.col("doc_id") % 2 != 0, F.col("lang")), F.col("text")).cast("binary")).alias("digest"))
 
 
+_UNITS = "['one','two','three','four','five','six','seven','eight','nine','ten','eleven','twelve','thirteen','fourteen','fifteen','sixteen','seventeen','eighteen','nineteen']"
+_TENS = "['ten','twenty','thirty','forty','fifty','sixty','seventy','eighty','ninety']"
+
+
+def _below_100(n: str) -> str:
+    return f"CASE WHEN ({n}) < 20 THEN {_UNITS}[{n}] WHEN ({n}) % 10 = 0 THEN {_TENS}[({n}) // 10] ELSE {_TENS}[({n}) // 10] || '-' || {_UNITS}[({n}) % 10] END"
+
+
+def _below_1000(n: str) -> str:
+    return f"CASE WHEN ({n}) < 100 THEN {_below_100(n)} WHEN ({n}) % 100 = 0 THEN {_UNITS}[({n}) // 100] || ' hundred' ELSE {_UNITS}[({n}) // 100] || ' hundred and ' || {_below_100(f'({n}) % 100')} END"
+
+
+def number_sql(n: str) -> str:
+    """A whole number below a thousand millions in words."""
+    groups = f"concat_ws(', ', CASE WHEN {n} >= 1000000 THEN {_below_1000(f'{n} // 1000000')} || ' million' END, CASE WHEN {n} // 1000 % 1000 > 0 THEN {_below_1000(f'{n} // 1000 % 1000')} || ' thousand' END, CASE WHEN {n} % 1000 >= 100 THEN {_below_1000(f'{n} % 1000')} END)"
+    return f"CASE WHEN {n} = 0 THEN 'zero' WHEN {n} < 100 THEN {_below_100(n)} ELSE {groups} || CASE WHEN {n} % 1000 BETWEEN 1 AND 99 AND {n} >= 1000 THEN ' and ' || {_below_100(f'{n} % 1000')} ELSE '' END END"
+
+
+_DAYS = "['first','second','third','fourth','fifth','sixth','seventh','eighth','ninth','tenth','eleventh','twelfth','thirteenth','fourteenth','fifteenth','sixteenth','seventeenth','eighteenth','nineteenth','twentieth','twenty-first','twenty-second','twenty-third','twenty-fourth','twenty-fifth','twenty-sixth','twenty-seventh','twenty-eighth','twenty-ninth','thirtieth','thirty-first']"
+_RULES = "(VALUES ('s', ''), ('ses', 's'), ('ves', 'f'), ('xes', 'x'), ('zes', 'z'), ('ches', 'ch'), ('shes', 'sh'), ('men', 'man'), ('ies', 'y')) AS r(cut, put)"
+
+
 @query()
 def porter_stem(spark, sf):
     return tokenise(documents(spark, sf)).select(F.explode("tokens").alias("token")).distinct().select("token", words.porter(F.col("token")).alias("stem"))
 
 
-@query()
+@query(f"WITH {_TOK}, v AS (SELECT DISTINCT unnest(t) AS token FROM tok), tried AS (SELECT token, left(token, length(token) - length(cut)) || put AS form FROM v JOIN {_RULES} ON ends_with(token, cut) WHERE NOT (ends_with(token, 'ss') AND cut = 's')), best AS (SELECT tried.token, arg_min(form, length(form) * 1000 + i) AS form FROM (SELECT *, row_number() OVER (PARTITION BY token, length(form) ORDER BY form) AS i FROM tried WHERE form IN (SELECT token FROM v)) tried GROUP BY tried.token) SELECT v.token, coalesce(form, v.token) AS lemma FROM v LEFT JOIN best ON v.token = best.token")
 def lemma(spark, sf):
-    return words.lemmas(tokenise(documents(spark, sf)).select(F.explode("tokens").alias("token")).distinct())
+    none = spark.createDataFrame([], "token string, base string")
+    return words.lemmas(tokenise(documents(spark, sf)).select(F.explode("tokens").alias("token")).distinct(), exceptions=none)
 
 
-@query()
+@query(f"SELECT o_orderkey, 'ordered ' || lower(monthname(o_orderdate)) || ' ' || {_DAYS}[day(o_orderdate)] || ' ' || {number_sql('year(o_orderdate)')} || '.' AS said FROM orders")
 def date_words(spark, sf):
     day = F.date_format("o_orderdate", "yyyy/MM/dd")
     return read_table(spark, sf, "orders").select("o_orderkey", words.verbalise_dates(F.concat(F.lit("ordered "), day, F.lit(" at 3:15 PM."))).alias("said"))
 
 
-@query()
+@query(f"SELECT doc_id, {number_sql('n')} AS said FROM (SELECT doc_id, doc_id * 7919 + n_chars AS n FROM documents)")
 def number_words(spark, sf):
     return read_table(spark, sf, "documents").select("doc_id", words.number_words((F.col("doc_id") * 7919 + F.col("n_chars")).cast("string")).alias("said"))
 
