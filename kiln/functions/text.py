@@ -43,12 +43,14 @@ def _fold_pairs() -> tuple[str, str, dict[str, str]]:
         if to.isascii() and to.strip() and to != c:
             if len(to) == 1:
                 a, b = a + c, b + to
-            elif cp >= 0x2100 and to.isalnum():
+            elif (0x2150 < cp < 0x2190 or 0xFB00 <= cp < 0xFB07) and to.isalpha():  # numerals, ligatures
                 more[c] = to
     return a, b, more
 
 
 FOLD_FROM, FOLD_TO, FOLD_SEVERAL = _fold_pairs()
+#: Ranges that hold all of FOLD_SEVERAL; a few ranges are looked for much faster than single characters.
+SEVERAL = "[\u0370-\u04FF\u2014-\u218F\uFB00-\uFB06]"
 #: Tags, tokens and the punctuation taken off their ends.
 TAG = r"<[^>]+>"
 TOKEN = r"(?:https?://\S+)|(?:[\p{L}\p{N}_]+(?:-[\p{L}\p{N}_]+)*)"
@@ -83,15 +85,17 @@ def strip_tags(c: Column) -> Column:
     return F.regexp_replace(c, TAG, "")
 
 
-def ascii_fold(c: Column) -> Column:
-    """Characters one for one by a table; those with several letters for one are put in only where a text has any."""
+def ascii_fold(c: Column, raw: Column | None = None) -> Column:
+    """Characters one for one by a table; those with several letters for one only where raw (the text that c was made of,
+    by default c) has any, as each of them is a pass over the text."""
+    folded = c
     for a, b in FOLD_WORDS.items():
-        c = F.replace(c, F.lit(a), F.lit(b))
-    folded = F.translate(c, FOLD_FROM, FOLD_TO)
-    table = F.create_map(*(F.lit(x) for pair in FOLD_SEVERAL.items() for x in pair))
-    spelled = lambda t: F.array_join(F.transform(F.split(t, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
-    several = "[" + "".join(FOLD_SEVERAL) + "]"
-    return F.get(F.transform(F.array(folded), lambda t: F.when(t.rlike(several), spelled(t)).otherwise(t)), F.lit(0))
+        folded = F.replace(folded, F.lit(a), F.lit(b))
+    folded = F.translate(folded, FOLD_FROM, FOLD_TO)
+    spelled = folded
+    for a, b in FOLD_SEVERAL.items():
+        spelled = F.replace(spelled, F.lit(a), F.lit(b))
+    return F.when((c if raw is None else raw).rlike(SEVERAL), spelled).otherwise(folded)
 
 
 def raw_tokens(c: Column) -> Column:
@@ -110,10 +114,10 @@ def prepared(c: Column, config: TextConfig = TextConfig()) -> Column:
     """The text just before it is cut into tokens."""
     from kiln.functions.words import verbalise_dates
 
-    c = strip_tags(fold_newlines(guard(c)))
+    raw, c = guard(c), strip_tags(fold_newlines(guard(c)))
     if config.dates:
         c = verbalise_dates(c)
-    return ascii_fold(c) if config.fold else c
+    return ascii_fold(c, raw) if config.fold else c
 
 
 def tokens(c: Column, config: TextConfig = TextConfig()) -> Column:

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,7 @@ def test_fold_of_any_script(spark):
 def test_every_target_is_ascii():
     assert len(tx.FOLD_FROM) == len(tx.FOLD_TO) == len(set(tx.FOLD_FROM)) and tx.FOLD_TO.isascii()
     assert all(v.isascii() and not k.isascii() for k, v in tx.FOLD_SEVERAL.items()) and not set(tx.FOLD_SEVERAL) & set(tx.FOLD_FROM)
+    assert all(re.match(tx.SEVERAL, k) for k in tx.FOLD_SEVERAL)
 
 
 @pytest.mark.parametrize(("text", "tokens"), [("Привет Мир", ["privet", "mir"]), ("jeu–concours Ⅷ", ["jeu-concours", "viii"])])
