@@ -17,8 +17,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kiln.operators.dense import Best
 from kiln.operators.ranked import DIGITS, small, top
-from kiln.operators.spectral import shared_folder
+from kiln.operators.spectral import Tables, large_rows, shared_folder
 
 #: Centres at most, vectors of the sample they are fitted on, vectors and queries of a block, clusters visited first.
 CENTRES, SAMPLE, BLOCK, QUERIES, SEEDS = 1024, 50_000, 2048, 512, 2
@@ -91,14 +92,19 @@ def _products(clusters: Clusters, wanted: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for ids, x, asked in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                ids, x = np.frombuffer(ids, "i8"), np.frombuffer(x, "f8").reshape(-1, dim)
-                qids, q = np.array([r["qid"] for r in asked]), np.array([r["q"] for r in asked])
-                scores = np.round(x @ q.T, DIGITS)
-                order = np.lexsort((np.broadcast_to(ids[:, None], scores.shape), -scores), axis=0)[:k]
-                at = np.broadcast_to(np.arange(len(qids)), order.shape)
-                yield pa.RecordBatch.from_arrays([pa.array(qids[at].ravel()), pa.array(ids[order].ravel()), pa.array(scores[order, at].ravel())], names=["qid", "doc_id", "score"])
+            for row in range(b.num_rows):  # one at a time, without Python objects: a row holds megabytes
+                ids, x = np.frombuffer(b.column(0)[row].as_buffer(), "i8"), np.frombuffer(b.column(1)[row].as_buffer(), "f8").reshape(-1, dim)
+                asked = b.column(2)[row].values
+                qids, q = asked.field("qid").to_numpy(), asked.field("q").flatten().to_numpy().reshape(-1, dim)
+                best = Best(len(qids), k)
+                best.add(ids, x, q)
+                yield best.batch(qids)
 
+    with large_rows(clusters.blocks.sparkSession):
+        return Tables(clusters.blocks.sparkSession).put(_multiplied(clusters, packed, run))
+
+
+def _multiplied(clusters: Clusters, packed: DataFrame, run) -> DataFrame:
     return clusters.blocks.join(packed, "cluster").select("ids", "x", "asked").mapInArrow(run, "qid long, doc_id long, score double")
 
 
@@ -129,7 +135,7 @@ def visit(clusters: Clusters, queries: DataFrame, k: int = 10, id_col: str = "ve
     falling = Window.partitionBy("qid").orderBy(F.desc("bound"), "cluster")
     bounds = bounds.select("qid", "cluster", "n", (F.col("near") + F.col("norm") * F.col("radius")).alias("bound")).withColumn("place", F.row_number().over(falling)).persist()
     first = bounds.where(F.col("place") <= seeds)
-    found = _products(clusters, first.select("qid", "cluster").join(asked, "qid"), k).persist()
+    found = _products(clusters, first.select("qid", "cluster").join(asked, "qid"), k)
     least = top(found, k, "doc_id").where(F.col("rank") == k).select("qid", F.col("score").alias("least"))
     rest = bounds.where(F.col("place") > seeds).join(small(least), "qid", "left").where(F.col("least").isNull() | (F.col("bound") >= F.col("least") - SLACK))
     more = _products(clusters, rest.select("qid", "cluster").join(asked, "qid"), k)
