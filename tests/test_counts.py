@@ -53,3 +53,19 @@ def test_a_grown_snapshot_keeps_the_counts_of_the_first(docs, spark):
     assert {(r.doc_id, r.term, r.tf) for r in grown.tf.collect()} == {(r.doc_id, r.term, r.tf) for r in Index(docs, order_col="doc_id").tf.collect()}
     assert "regexp_extract_all" not in plan(grown.bags).split("InMemoryTableScan")[0]
     grown.release(), first.release()
+
+
+def test_the_vocabulary_and_its_sizes_come_from_one_pass_without_counts(docs):
+    """doc_freq, index_stats: no counts by document are made or kept for them."""
+    index = Index(docs, order_col="doc_id", keep=True)
+    assert tuple(index.stats().first()) == (4, 4, 6)
+    assert {r.term: r.df for r in index.vocab.select("term", "df").collect()} == {"aa": 2, "bb": 1, "cc": 2, "http://x.y/z": 1, "zz": 1, "yy": 1}
+    assert "bags" not in index._made
+    index.release()
+
+
+@pytest.mark.parametrize(("rows", "order", "want"), [([(1, "aa bb"), (1, "aa")], None, (2, 1, 2)), ([(1, "aa"), (1, "bb"), (None, "cc")], "doc_id", (3, 1, 3)), ([(1, ""), (1, "aa")], "doc_id", (1, 1, 1)), ([], "doc_id", (0, 0, 0))])
+def test_sizes_of_rows_without_an_id_or_of_one_id(spark, rows, order, want):
+    index = Index(spark.createDataFrame(rows, "doc_id long, text string"), order_col=order)
+    assert tuple(index.stats().first()) == want
+    assert index.n_docs == want[0] and index.vocab.count() == want[2]
