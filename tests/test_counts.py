@@ -69,3 +69,13 @@ def test_sizes_of_rows_without_an_id_or_of_one_id(spark, rows, order, want):
     index = Index(spark.createDataFrame(rows, "doc_id long, text string"), order_col=order)
     assert tuple(index.stats().first()) == want
     assert index.n_docs == want[0] and index.vocab.count() == want[2]
+
+
+def test_weights_of_terms_of_one_document_need_no_shuffle(docs, monkeypatch):
+    """doc_norms: the frequent terms are aa and cc, all others are in one document."""
+    monkeypatch.setattr(ix, "HOT_TERMS", 2)
+    index = Index(docs, order_col="doc_id", keep=True)
+    index.vocab.count()
+    held = plan(weights(index.tf, index.vocab)).split("InMemoryTableScan")[0]
+    assert "hashpartitioning" not in held and "Union" not in held and "SortMergeJoin" not in held
+    index.release()
